@@ -1,0 +1,2 @@
+"""Empty on purpose: the workload this library covers has no stream source,
+event-time window, watermark or state, so no streaming operator is built."""
