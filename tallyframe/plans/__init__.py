@@ -1,3 +1,14 @@
 """Registered queries. Importing this package fills the registry."""
 
-from tallyframe.plans import aggregates, expressions, filters, joins, quality, storage  # noqa: F401
+from tallyframe.plans import (  # noqa: F401
+    aggregates,
+    clusters,
+    expressions,
+    filters,
+    joins,
+    quality,
+    sales,
+    statistics,
+    storage,
+    suggestions,
+)
