@@ -91,7 +91,8 @@ def kmedoids(
     _need_two(features)
     scaled = robust_scale(df, features, "__s", **options)
     names = [f + "__s" for f in features]
-    points = materialise(scaled.select(F.col(row_id).alias("__id"), *names))
+    # read many times: kept in memory on top of the written copy
+    points = materialise(scaled.select(F.col(row_id).alias("__id"), *names)).persist()
     start = points.select("*", F.xxhash64(F.lit(seed), "__id").alias("__h")).orderBy("__h", "__id").limit(k).collect()
     if len(start) < k:
         raise ValueError(f"fewer than {k} rows")
@@ -102,23 +103,24 @@ def kmedoids(
             r["__c"]: [r[n] for n in names]
             for r in assigned.groupBy("__c").agg(*[F.avg(n).alias(n) for n in names]).collect()
         }
-        gap = F.lit(None).cast("double")
-        for c, mean in means.items():
-            gap = F.when(F.col("__c") == c, _distance2(names, mean)).otherwise(gap)
-        gaps = assigned.withColumn("__gap", gap)
-        least = {r["__c"]: r["g"] for r in gaps.groupBy("__c").agg(F.min("__gap").alias("g")).collect()}
-        hit = F.lit(False)
-        for c, g in least.items():
-            hit = hit | ((F.col("__c") == c) & (F.col("__gap") == F.lit(g)))
-        winners = gaps.where(hit).groupBy("__c").agg(F.min("__id").alias("__id"))
-        # the winner's coordinates: at most k rows
-        rows = winners.withColumnRenamed("__c", "__w").join(points, "__id").collect()
+        # one pass: per cluster the member nearest its mean, ties to the smallest id
+        nearest = [
+            F.min(
+                F.when(
+                    F.col("__c") == c,
+                    F.struct(_distance2(names, mean).alias("__gap"), "__id", *names),
+                )
+            ).alias(f"c{c}")
+            for c, mean in means.items()
+        ]
+        winners = assigned.agg(*nearest).first()
         moved = list(medoids)
-        for r in rows:
-            moved[r["__w"]] = (r["__id"], [r[n] for n in names])
+        for c in means:
+            moved[c] = (winners[f"c{c}"]["__id"], [winners[f"c{c}"][n] for n in names])
         if moved == medoids:
             break
         medoids = moved
+    points.unpersist()
     cluster = _nearest(names, [m[1] for m in medoids])
     out = scaled.withColumns(
         {"cluster": label_clusters(cluster, labels), "is_medoid": F.col(row_id).isin([m[0] for m in medoids])}

@@ -2,10 +2,10 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, so
 it is used only while the input is small. Above ``SMALL_ROWS`` a percentile is
-found by selection: approximate splitters cut each column into value buckets,
-one counting pass finds which bucket holds each wanted order statistic, and only
-those buckets are sorted. The result does not depend on how good the splitters
-are.
+found by selection: splitters estimated on a sample cut each column into value
+buckets, one counting pass over all rows finds which bucket holds each wanted
+order statistic, and only those buckets are sorted. The result is exact however
+good or bad the splitters are.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from tallyframe.session import materialise
 
-SMALL_ROWS = 2_000_000
-ROWS_PER_BUCKET = 2_000_000
+SMALL_ROWS = 200_000
+ROWS_PER_BUCKET = 5_000
 MAX_BUCKETS = 8_192
+SPLITTER_ROWS = 200_000  # rows looked at to place the splitters
+BROADCAST_ROWS = 100_000  # small sides are broadcast only below this counted size
 
 
 def clean_double(name: str) -> Column:
@@ -80,19 +82,18 @@ def _small_percentiles(values, columns, probabilities, by):
     return long.select(*by, "column", F.inline(pairs))
 
 
-def _splitters(values: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[float]]:
+def _splitters(values: DataFrame, columns: Sequence[str], buckets: int, total: int) -> dict[str, list[float]]:
     """At most ``buckets`` increasing cut points per column (a bounded collect)."""
     grid = [i / buckets for i in range(1, buckets)]
-    row = values.agg(
-        *[F.percentile_approx(c, grid, F.lit(max(10_000, 4 * buckets))).alias(c) for c in columns]
-    ).first()
+    looked_at = values.sample(min(1.0, SPLITTER_ROWS / total), seed=0) if total > SPLITTER_ROWS else values
+    row = looked_at.agg(*[F.percentile_approx(c, grid, F.lit(max(10_000, 4 * buckets))).alias(c) for c in columns]).first()
     return {c: sorted(set(row[c] or [])) for c in columns}
 
 
 def _selected_percentiles(values, columns, probabilities, by, total):
     by = list(by)
-    buckets = max(4, min(MAX_BUCKETS, total // ROWS_PER_BUCKET + 2))
-    cuts = _splitters(values, columns, buckets)
+    buckets = max(4, min(MAX_BUCKETS, total // ROWS_PER_BUCKET))
+    cuts = _splitters(values, columns, buckets, total)
     bucketed = Bucketizer(
         inputCols=list(columns),
         outputCols=[f"{c}__bucket" for c in columns],
@@ -108,44 +109,37 @@ def _selected_percentiles(values, columns, probabilities, by, total):
     # At most MAX_BUCKETS rows per group reach these windows.
     sizes = long.groupBy(*group, "bucket").agg(F.count("*").alias("size"))
     running = Window.partitionBy(*group).orderBy("bucket")
-    whole = Window.partitionBy(*group)
     sizes = sizes.select(
         *group,
         "bucket",
         F.sum("size").over(running).alias("end"),
         (F.sum("size").over(running) - F.col("size")).alias("start"),
-        F.sum("size").over(whole).alias("n"),
+        F.sum("size").over(Window.partitionBy(*group)).alias("n"),
     )
-    wanted = sizes.select(
-        *group, "bucket", "start", "end", "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability")
-    ).withColumn("position", F.col("probability") * (F.col("n") - 1))
-    wanted = wanted.select(
-        "*", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))).alias("rank")
-    ).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
-
-    # Equal values collapse to one row before the buckets are sorted.
-    needed = wanted.select(*[F.col(g).alias(f"w_{g}") for g in group], F.col("bucket").alias("w_bucket")).distinct()
-    same = reduce(
-        lambda a, b: a & b,
-        [long[g].eqNullSafe(needed[f"w_{g}"]) for g in group] + [long["bucket"] == needed["w_bucket"]],
+    asked = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
+    wanted = sizes.select("*", asked.alias("probability")).withColumn("position", F.col("probability") * (F.col("n") - 1))
+    ranks = F.array_distinct(F.array(F.floor("position"), F.ceil("position")))
+    wanted = materialise(
+        wanted.select("*", F.explode(ranks).alias("rank"))
+        .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
+        .select(*[F.col(g).alias(f"w_{g}") for g in group], F.col("bucket").alias("w_bucket"), "start", "probability", "position", "rank")
     )
-    counted = long.join(needed, same, "left_semi").groupBy(*group, "bucket", "value").agg(F.count("*").alias("copies"))
-    inside = Window.partitionBy(*group, "bucket").orderBy("value")
-    ordered = counted.select(
-        *[F.col(g).alias(f"v_{g}") for g in group],
-        F.col("bucket").alias("v_bucket"),
-        "value",
-        F.sum("copies").over(inside).alias("upto"),
-        (F.sum("copies").over(inside) - F.col("copies")).alias("before"),
-    )
-    match = reduce(
-        lambda a, b: a & b,
-        [wanted[g].eqNullSafe(ordered[f"v_{g}"]) for g in group] + [wanted["bucket"] == ordered["v_bucket"]],
+    small = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda side: side)
+
+    def same(left):
+        keys = [left[g].eqNullSafe(F.col(f"w_{g}")) for g in group]
+        return reduce(lambda a, b: a & b, keys, left["bucket"] == F.col("w_bucket"))
+
+    # Only the wanted buckets are shuffled, with equal values collapsed to one row.
+    needed = wanted.select(*[f"w_{g}" for g in group], "w_bucket").distinct()
+    counted = long.join(small(needed), same(long), "left_semi").groupBy(*group, "bucket", "value").agg(
+        F.count("*").alias("copies")
     )
+    upto = F.sum("copies").over(Window.partitionBy(*group, "bucket").orderBy("value"))
+    ordered = counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("copies"))
     offset = F.col("rank") - F.col("start")
-    statistics = wanted.join(ordered, match).where((offset >= F.col("before")) & (offset < F.col("upto")))
-    low = F.min_by("value", "rank")
-    high = F.max_by("value", "rank")
+    statistics = ordered.join(small(wanted), same(ordered)).where((offset >= F.col("before")) & (offset < F.col("upto")))
+    low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
     return statistics.groupBy(*group, "probability").agg(
         (low + (high - low) * (F.max("position") - F.floor(F.max("position")))).alias("value")
     )

@@ -2,7 +2,7 @@
 
 Matching is exact but does not score every profile against every row. Catalogue
 rows are grouped into blocks (slot, condition, diet) and, inside a block, into at
-most ``GRID ** 3`` cells of similar nutrients. Box bounds on the distance tell
+most ``MAX_GRID ** 3`` cells of similar nutrients. Box bounds on the distance tell
 which cells can hold a top match and which can hold the farthest row; only those
 cells' rows are scored.
 """
@@ -56,8 +56,9 @@ CONDITION_FACTORS = {
 NUTRIENTS = tuple(WEIGHTS)
 ANY_DIET = "Any"
 
-GRID = 8  # value classes per gridded nutrient
-GRID_NUTRIENTS = ("calories", "protein", "carbohydrates")
+MAX_GRID = 16  # most value classes per gridded nutrient
+GRID_NUTRIENTS = 3
+ENTRIES_PER_CELL = 20_000
 EVERY = "*"
 
 
@@ -125,19 +126,26 @@ def _entries(catalogue: DataFrame, suggestions: Mapping[str, str], labels: str,
     return rows.where(text.is_present(F.col("suggestion"))).distinct()
 
 
-def _with_cells(entries: DataFrame, nutrients: Sequence[str]) -> DataFrame:
-    """Add the nutrient cell; class limits are a few approximate quantiles per nutrient."""
-    gridded = [n for n in GRID_NUTRIENTS if n in nutrients] or list(nutrients[:1])
-    marks = [i / GRID for i in range(1, GRID)]
-    row = entries.agg(*[F.percentile_approx(n, marks).alias(n) for n in gridded]).first()
+def _with_cells(entries: DataFrame, wanted: DataFrame, nutrients: Sequence[str], grid: int) -> DataFrame:
+    """Add the nutrient cell: ``grid`` value classes of the nutrients that move the distance most.
+
+    Two one-row aggregates choose the nutrients and their approximate class limits.
+    """
+    if grid < 2:
+        return entries.withColumn("cell", F.lit(0))
+    marks = [i / grid for i in range(1, grid)]
+    limits = entries.agg(*[F.percentile_approx(n, marks).alias(n) for n in nutrients]).first()
+    typical = wanted.agg(*[F.avg(F.abs(f"t_{n}")).alias(n) for n in nutrients]).first()
+    reach = {n: WEIGHTS[n] ** 0.5 * (limits[n][-1] - limits[n][0]) / (typical[n] or 1.0) for n in nutrients}
+    gridded = sorted(nutrients, key=lambda n: -reach[n])[:GRID_NUTRIENTS]
     bucketed = Bucketizer(
         inputCols=gridded,
         outputCols=[f"__{n}" for n in gridded],
-        splitsArray=[[float("-inf"), *sorted(set(row[n] or [0.0])), float("inf")] for n in gridded],
+        splitsArray=[[float("-inf"), *sorted(set(limits[n])), float("inf")] for n in gridded],
     ).transform(entries)
     cell = F.lit(0)
     for n in gridded:
-        cell = cell * GRID + F.col(f"__{n}").cast("int")
+        cell = cell * grid + F.col(f"__{n}").cast("int")
     return bucketed.withColumn("cell", cell).drop(*[f"__{n}" for n in gridded])
 
 
@@ -184,6 +192,7 @@ def match_top(
     labels: str = "disease",
     diet: str = "diet",
     exact_cell: bool = False,
+    grid: int | None = None,
 ) -> DataFrame:
     """The ``top_n`` best suggestions per profile and slot.
 
@@ -191,18 +200,52 @@ def match_top(
     conditions and the targets. The score is (1 - distance / largest distance of
     the searched rows) in percent with one decimal; a suggestion counts once with
     its best row. Ties go to the smaller suggestion text. ``exact_cell`` compares
-    the whole label cell instead of its labels.
+    the whole label cell instead of its labels. ``grid`` sets the value classes per
+    gridded nutrient (default: by catalogue size); it never changes the result.
     """
     nutrients = [n for n in NUTRIENTS if n in catalogue.columns]
     if not nutrients:
         raise ValueError("catalogue has no nutrient columns")
     request, block = ["profile_id", "slot"], ["slot", "label_key", "diet_key"]
-    wanted = requests.select(*request, "diet", "conditions", *[f"t_{n}" for n in nutrients])
-    entries = materialise(_with_cells(_entries(catalogue, suggestions, labels, diet, nutrients, exact_cell), nutrients))
+    wanted = materialise(requests.select(*request, "diet", "conditions", *[f"t_{n}" for n in nutrients]))
+    distinct = materialise(_entries(catalogue, suggestions, labels, diet, nutrients, exact_cell))
+    if grid is None:
+        grid = max(1, min(MAX_GRID, int((distinct.count() / ENTRIES_PER_CELL) ** (1 / GRID_NUTRIENTS))))
+    entries = _with_cells(distinct, wanted, nutrients, grid)
     spread = entries.select(
         "slot", "suggestion", "cell", *nutrients, "diet_keys", F.explode("label_keys").alias("label_key")
     ).select("slot", "suggestion", "cell", *nutrients, "label_key", F.explode("diet_keys").alias("diet_key"))
+    if grid < 2:  # a single cell per block: there is nothing to rule out
+        blocks = spread.select(*block, "cell").distinct()
+        kept = _effective_blocks(wanted, blocks).select(
+            *request, "label_key", "diet_key", F.lit(0).alias("cell"), F.lit(True).alias("is_near"), F.lit(True).alias("is_far")
+        )
+        kept = kept.join(wanted.drop("diet", "conditions"), request)
+    else:
+        kept = _cells_to_scan(spread, wanted, nutrients, top_n)
+    kept = materialise(kept)
+
+    distance = F.sqrt(_weighted(nutrients, lambda n: F.col(n) - F.col(f"t_{n}")))
+
+    def score(cells_to_scan):
+        return cells_to_scan.join(spread, [*block, "cell"]).withColumn("distance", distance)
+
+    best = score(kept.where("is_near")).groupBy(*request, "suggestion").agg(
+        F.min(F.struct("distance", *nutrients)).alias("row")
+    )
+    ranked = top_per_group(
+        best.select(*request, "suggestion", "row.*"), request, [F.col("distance"), F.col("suggestion")], top_n, "rank"
+    )
+    largest = score(kept.where("is_far")).groupBy(*request).agg(F.max("distance").alias("largest"))
+    relative = F.col("distance") / F.when(F.col("largest") > 0, F.col("largest")).otherwise(1.0)
+    return ranked.join(largest, request).select(
+        *request, "rank", "suggestion", F.round((1 - relative) * 100, 1).alias("match_score"), "distance", *nutrients
+    )
+
 
+def _cells_to_scan(spread: DataFrame, wanted: DataFrame, nutrients: Sequence[str], top_n: int) -> DataFrame:
+    """Per request the cells that can hold a top match (is_near) or the farthest row (is_far)."""
+    request, block = ["profile_id", "slot"], ["slot", "label_key", "diet_key"]
     # every suggestion is counted in one home cell, so counts of cells add up
     boxes = spread.groupBy(*block, "cell").agg(
         *[F.min(n).alias(f"lo_{n}") for n in nutrients], *[F.max(n).alias(f"hi_{n}") for n in nutrients]
@@ -217,7 +260,7 @@ def match_top(
     nearest = _weighted(nutrients, lambda n: F.greatest(nothing, F.col(f"lo_{n}") - F.col(f"t_{n}"), F.col(f"t_{n}") - F.col(f"hi_{n}")))
     farthest = _weighted(nutrients, lambda n: F.greatest(F.abs(F.col(f"lo_{n}") - F.col(f"t_{n}")), F.abs(F.col(f"hi_{n}") - F.col(f"t_{n}"))))
     bounded = searched.withColumns({"least": nearest, "most": farthest})
-    # at most GRID ** 3 cells per block reach these windows
+    # at most MAX_GRID ** GRID_NUTRIENTS cells per block reach these windows
     upto = F.sum("n_home").over(Window.partitionBy(*request, "label_key", "diet_key").orderBy("most", "cell"))
     whole = Window.partitionBy(*request)
     bounded = bounded.withColumn("upto", upto)
@@ -227,30 +270,11 @@ def match_top(
             "reached": F.max("least").over(whole),
         }
     )
-    kept = materialise(
-        bounded.select(
-            *request, "label_key", "diet_key", "cell", *[f"t_{n}" for n in nutrients],
-            (F.col("enough").isNull() | (F.col("least") <= F.col("enough"))).alias("is_near"),
-            (F.col("most") >= F.col("reached")).alias("is_far"),
-        ).where("is_near OR is_far")
-    )
-
-    distance = F.sqrt(_weighted(nutrients, lambda n: F.col(n) - F.col(f"t_{n}")))
-
-    def score(cells_to_scan):
-        return cells_to_scan.join(spread, [*block, "cell"]).withColumn("distance", distance)
-
-    best = score(kept.where("is_near")).groupBy(*request, "suggestion").agg(
-        F.min(F.struct("distance", *nutrients)).alias("row")
-    )
-    ranked = top_per_group(
-        best.select(*request, "suggestion", "row.*"), request, [F.col("distance"), F.col("suggestion")], top_n, "rank"
-    )
-    largest = score(kept.where("is_far")).groupBy(*request).agg(F.max("distance").alias("largest"))
-    relative = F.col("distance") / F.when(F.col("largest") > 0, F.col("largest")).otherwise(1.0)
-    return ranked.join(largest, request).select(
-        *request, "rank", "suggestion", F.round((1 - relative) * 100, 1).alias("match_score"), "distance", *nutrients
-    )
+    return bounded.select(
+        *request, "label_key", "diet_key", "cell", *[f"t_{n}" for n in nutrients],
+        (F.col("enough").isNull() | (F.col("least") <= F.col("enough"))).alias("is_near"),
+        (F.col("most") >= F.col("reached")).alias("is_far"),
+    ).where("is_near OR is_far")
 
 
 def day_summary(matches: DataFrame, targets: DataFrame) -> DataFrame:

@@ -112,20 +112,20 @@ m AS (SELECT *, max(distance) OVER (PARTITION BY profile_id, slot) AS largest FR
 best AS (SELECT *, row_number() OVER (PARTITION BY profile_id, slot, suggestion ORDER BY distance, {', '.join(NUTRIENTS)}) AS rn FROM m),
 top AS (SELECT *, row_number() OVER (PARTITION BY profile_id, slot ORDER BY distance, suggestion) AS rank FROM best WHERE rn = 1)
 """
-ROUNDED_TARGETS = {f"t_{n}": 7 for n in NUTRIENTS}
+TARGETS = [f"t_{n}" for n in NUTRIENTS]
 
 
 @plan("profile_targets", "RC1", PROFILES_SQL + f"""
-SELECT profile_id, {', '.join(f'round(t_{n}, 7) AS t_{n}' for n in NUTRIENTS)} FROM targets""")
+SELECT profile_id, {', '.join(f't_{n}' for n in NUTRIENTS)} FROM targets""")
 def profile_targets(t: Tables):
-    return rounded(recommend.daily_targets(profiles(t)).select("profile_id", *ROUNDED_TARGETS), **ROUNDED_TARGETS)
+    return recommend.daily_targets(profiles(t)).select("profile_id", *TARGETS)
 
 
 @plan("slot_targets", "RC2", SLOTS_SQL + f"""
-SELECT profile_id, slot, {', '.join(f'round(t_{n}, 7) AS t_{n}' for n in NUTRIENTS)} FROM slots""")
+SELECT profile_id, slot, {', '.join(f't_{n}' for n in NUTRIENTS)} FROM slots""")
 def slot_targets(t: Tables):
     split = recommend.slot_targets(recommend.daily_targets(profiles(t)))
-    return rounded(split.select("profile_id", "slot", *ROUNDED_TARGETS), **ROUNDED_TARGETS)
+    return split.select("profile_id", "slot", *TARGETS)
 
 
 def matches(t: Tables, top_n: int = 5):
