@@ -10,12 +10,11 @@ on bounding boxes, which are split further only while the answer is open.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.cluster import NOISE, label_clusters, robust_scale
@@ -24,6 +23,7 @@ from tallyframe.operators.quantiles import global_rank
 from tallyframe.session import materialise
 
 MAX_OFFSETS = 1_000  # neighbour cells listed per cell; further dimensions are checked by box distance
+ONE_TASK_ROWS = 100_000  # clusters are numbered by one task only below this counted number
 DIRECT_PAIRS = 4_096  # two boxes are compared point by point below this product of sizes
 
 
@@ -49,24 +49,24 @@ def dbscan(df: DataFrame, row_id: str, features: Sequence[str], eps: float = 0.5
     xs = [f"x{i}" for i in range(d)]
     side = eps / math.sqrt(d) * (1 - 1e-9)  # the margin keeps rounding from breaking "one cell = neighbours"
     points = df.select(F.col(row_id).alias("id"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, xs)])
-    cell = F.array(*[F.floor(F.col(x) / F.lit(side)) for x in xs])
+    place = {f"c{i}": F.floor(F.col(x) / F.lit(side)) for i, x in enumerate(xs)}
     # equal points share their fate, so copies become one site with a weight
-    sites = materialise(
-        points.groupBy(*xs).agg(F.count("*").alias("copies"), F.min("id").alias("site")).withColumn("cell", cell)
+    placed = materialise(
+        points.groupBy(*xs).agg(F.count("*").alias("copies"), F.min("id").alias("site")).withColumns(place)
     )
-    cells = materialise(sites.groupBy("cell").agg(F.sum("copies").alias("n"), *_box(xs)))
-    near = materialise(_near_cells(cells, xs, eps))
-
-    dense = cells.where(F.col("n") >= min_samples).select("cell")
-    sparse = cells.where(F.col("n") < min_samples).select("cell", F.col("n").alias("own"))
-    sparse_sites = materialise(sites.join(sparse, "cell"))
-    weights = _reached(sparse_sites, near, sites, xs, eps, F.sum("copies"), F.col("b_n"))
-    counted = sparse_sites.join(weights, "site", "left")
-    is_core = F.col("own") + F.coalesce("reach", F.lit(0)) >= min_samples
-    judged = materialise(counted.withColumn("core", is_core).drop("reach"))
-    core = materialise(
-        sites.join(dense, "cell").select("site", "cell", *xs).unionByName(judged.where("core").select("site", "cell", *xs))
+    # a cell is named by its smallest site, so that later joins compare one number
+    cells = materialise(
+        placed.groupBy(*place).agg(F.min("site").alias("cell"), F.sum("copies").alias("n"), *_box(xs))
     )
+    near = materialise(_near_cells(cells, list(place), xs, eps))
+
+    sites = materialise(placed.join(cells.select(*place, "cell", F.col("n").alias("own")), list(place)).drop(*place))
+    sized, sites = sites, sites.drop("own")
+    sparse = sized.where(F.col("own") < min_samples)
+    reach = _reached(sparse, near, sites, xs, eps, F.sum("copies"), F.col("b_n"))
+    is_core = F.col("own") + F.coalesce("reach", F.lit(0)) >= min_samples
+    judged = materialise(sized.join(reach, "site", "left").select("site", "cell", *xs, is_core.alias("core")))
+    core = judged.where("core")
 
     core_cells = materialise(core.groupBy("cell").agg(F.min("site").alias("node"), F.count("*").alias("n"), *_box(xs)))
     links = _linked_cells(core, core_cells, near, xs, eps, side)
@@ -74,16 +74,18 @@ def dbscan(df: DataFrame, row_id: str, features: Sequence[str], eps: float = 0.5
     edges = links.join(nodes.select(F.col("cell").alias("a_cell"), F.col("node").alias("a")), "a_cell").join(
         nodes.select(F.col("cell").alias("b_cell"), F.col("node").alias("b")), "b_cell"
     )
-    rooted = connected_components(edges.select("a", "b"), nodes.select("node"))
-    numbers = global_rank(rooted.select("root").distinct(), [F.col("root")], "number")
-    labels = materialise(
-        nodes.join(rooted, "node").join(numbers, "root").select("cell", (F.col("number") - 1).cast("int").alias("cluster"))
-    )
+    rooted = materialise(connected_components(edges.select("a", "b"), nodes.select("node")))
+    roots = rooted.where("node = root").select("root")
+    if roots.count() <= ONE_TASK_ROWS:
+        numbers = roots.withColumn("number", F.row_number().over(Window.orderBy("root")))
+    else:
+        numbers = global_rank(roots, [F.col("root")], "number")
+    labels = nodes.join(rooted, "node").join(numbers, "root").select("cell", (F.col("number") - 1).cast("int").alias("cluster"))
 
     # border points: sparse, not core, with a core point in reach
-    rest = judged.where(~F.col("core"))
+    rest = judged.where("NOT core")
     own = rest.join(labels, "cell").select("site", "cluster")
-    core_named = core.join(labels, "cell")
+    core_named = core.drop("core").join(labels, "cell")
     core_near = near.drop("b_n", *_named("b", xs)).join(
         core_cells.join(labels, "cell").select(
             F.col("cell").alias("b_cell"), F.col("cluster").alias("b_n"), *[F.col(c).alias(f"b_{c}") for c in _names(xs)]
@@ -133,24 +135,25 @@ def _sides(prefix: str, xs: Sequence[str]) -> tuple[list[Column], list[Column]]:
     return [F.col(f"{prefix}_lo_{x}") for x in xs], [F.col(f"{prefix}_hi_{x}") for x in xs]
 
 
-def _near_cells(cells: DataFrame, xs: Sequence[str], eps: float) -> DataFrame:
+def _near_cells(cells: DataFrame, place: Sequence[str], xs: Sequence[str], eps: float) -> DataFrame:
     """Ordered pairs of different cells whose boxes are within eps, with the second cell's size and box."""
-    d = len(xs)
-    reach = math.ceil(math.sqrt(d))
-    listed = d
+    reach = math.ceil(math.sqrt(len(xs)))
+    listed = len(xs)
     while listed > 1 and (2 * reach + 1) ** listed > MAX_OFFSETS:
         listed -= 1
-    offsets = itertools.product(range(-reach, reach + 1), repeat=listed)
-    steps = F.array(*[F.array(*[F.lit(o).cast("bigint") for o in off]) for off in offsets])
-    key = F.slice("cell", 1, listed)
     a = cells.select(
-        F.col("cell").alias("a_cell"), *[F.col(c).alias(f"a_{c}") for c in _names(xs)], F.explode(steps).alias("step")
-    ).withColumn("key", F.zip_with(F.slice("a_cell", 1, listed), "step", lambda p, q: p + q))
+        F.col("cell").alias("a_cell"), *[F.col(c).alias(f"a_{c}") for c in _names(xs)], *place[:listed]
+    )
+    for c in place[:listed]:  # one row per neighbouring coordinate
+        a = a.withColumn("step", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn(c, F.col(c) + F.col("step"))
     b = cells.select(
-        F.col("cell").alias("b_cell"), F.col("n").alias("b_n"), *[F.col(c).alias(f"b_{c}") for c in _names(xs)], key.alias("key")
+        F.col("cell").alias("b_cell"),
+        F.col("n").alias("b_n"),
+        *[F.col(c).alias(f"b_{c}") for c in _names(xs)],
+        *place[:listed],
     )
     close = _gap2(*_sides("a", xs), *_sides("b", xs)) <= eps * eps
-    pairs = a.join(b, "key").where((F.col("a_cell") != F.col("b_cell")) & close)
+    pairs = a.join(b, place[:listed]).where((F.col("a_cell") != F.col("b_cell")) & close)
     return pairs.select("a_cell", "b_cell", "b_n", *_named("b", xs))
 
 
@@ -181,12 +184,13 @@ def _linked_cells(core, core_cells, near, xs, eps, side) -> DataFrame:
     """Pairs (a_cell, b_cell) of cells that hold core points within eps of each other."""
     split = 4 if len(xs) <= 2 else 2
     e2 = eps * eps
-    boxes = core_cells.select("cell", F.col("cell").alias("sub"), "n", *_names(xs))
+    whole = F.array("cell")  # the first box of a cell is the cell itself
+    boxes = core_cells.select("cell", whole.alias("sub"), "n", *_names(xs))
     first = near.where(F.col("a_cell") < F.col("b_cell")).select("a_cell", "b_cell")
     pairs = _with_boxes(
-        first.withColumns({"a_sub": F.col("a_cell"), "b_sub": F.col("b_cell")}), boxes, xs
+        first.withColumns({"a_sub": F.array("a_cell"), "b_sub": F.array("b_cell")}), boxes, xs
     )
-    tagged = core.withColumn("sub", F.col("cell"))
+    tagged = core.withColumn("sub", whole)
     linked = None
     level_side = side
     while True:
@@ -198,14 +202,15 @@ def _linked_cells(core, core_cells, near, xs, eps, side) -> DataFrame:
         )
         found = pairs.where("sure").select("a_cell", "b_cell").distinct()
         undecided = pairs.join(found, ["a_cell", "b_cell"], "left_anti").drop("sure")
-        small = undecided.where(F.col("a_n") * F.col("b_n") <= DIRECT_PAIRS)
-        touching = _compare(small, tagged, xs, e2)
-        linked_now = materialise(found.unionByName(touching).distinct())
+        many = F.col("a_n") * F.col("b_n") > DIRECT_PAIRS
+        linked_now = found.unionByName(_compare(undecided.where(~many), tagged, xs, e2)).distinct()
+        last = undecided.where(many).isEmpty()
+        if not last:
+            linked_now = materialise(linked_now)
         linked = linked_now if linked is None else linked.unionByName(linked_now)
-        large = undecided.where(F.col("a_n") * F.col("b_n") > DIRECT_PAIRS).join(
-            linked_now, ["a_cell", "b_cell"], "left_anti"
-        )
-        large = materialise(large)
+        if last:
+            return linked.distinct()
+        large = materialise(undecided.where(many).join(linked_now, ["a_cell", "b_cell"], "left_anti"))
         if large.isEmpty():
             return linked.distinct()
         # split the boxes of the open pairs and look at their parts

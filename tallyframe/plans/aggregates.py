@@ -92,19 +92,21 @@ def having_avg(t: Tables):
 
 
 @plan("daily_totals", "D6 A6", """
-SELECT CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS total_amount FROM orders
+SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, round(sum(o_totalprice), 2) AS total_amount FROM orders
 GROUP BY CAST(o_orderdate AS DATE) HAVING count(*) > 10""")
 def daily_totals(t: Tables):
     daily = t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(
         _n("n"), F.round(F.sum("o_totalprice"), 2).alias("total_amount")
     )
-    return daily.where(F.col("n") > 10).select("day", "total_amount").orderBy(F.desc("day"))
+    return daily.where(F.col("n") > 10).select(F.col("day").cast("string"), "total_amount").orderBy(F.desc("day"))
 
 
 @plan("timestamp_totals", "A5 D6", """
-SELECT ts, CAST(ts AS DATE) AS day, round(sum(value), 2) AS total_value FROM events GROUP BY ts, CAST(ts AS DATE)""")
+SELECT CAST(epoch_us(ts) AS BIGINT) AS ts_us, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(value), 2) AS total_value FROM events GROUP BY ts, CAST(ts AS DATE)""")
 def timestamp_totals(t: Tables):
-    return t.events.groupBy("ts", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 2).alias("total_value"))
+    totals = t.events.groupBy("ts", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 2).alias("total_value"))
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    return totals.select(moment.alias("ts_us"), F.col("day").cast("string"), "total_value")
 
 
 @plan("count_with_details", "A7 J1", """

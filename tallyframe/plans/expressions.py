@@ -10,6 +10,11 @@ from tallyframe.operators.profile import explode_labels
 from tallyframe.plans.registry import Tables, plan
 
 
+def as_text(values):
+    """Array elements joined with commas, so that results compare as plain text."""
+    return F.array_join(values.cast("array<string>"), ",")
+
+
 @plan("pad_and_slice", "ST1 ST2 ST3 ST4 ST9 ST18", """
 SELECT p_partkey, lpad(rpad(p_name, 20, '*'), 25, '*') AS padded, rpad(p_name, 6, '*') AS cut_pad,
        substr(p_name, 3, 9) AS middle, substr(p_name, 4) AS rest, concat(p_brand, '@', p_type) AS joined,
@@ -210,13 +215,13 @@ SUNDAY_WEEK = "CAST(strftime({d}, '%U') AS INTEGER)"
 WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS BIGINT) AS n_orders FROM orders GROUP BY 1),
      w AS (SELECT *, {SUNDAY_WEEK.format(d='day')} AS week,
                   {SUNDAY_WEEK.format(d="make_date(year(day) - 1, 12, 31)")} AS last_week FROM d)
-SELECT day, n_orders, week, CAST(CASE WHEN week > 0 THEN year(day) * 100 + week ELSE (year(day) - 1) * 100 + last_week END AS INTEGER)
+SELECT CAST(day AS VARCHAR) AS day, n_orders, week, CAST(CASE WHEN week > 0 THEN year(day) * 100 + week ELSE (year(day) - 1) * 100 + last_week END AS INTEGER)
        AS year_week, week(day)::INTEGER AS iso_week, dayname(day) AS weekday FROM w""")
 def week_mode0(t: Tables):
     daily = t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n_orders"))
     day = F.col("day")
     return daily.select(
-        "day",
+        day.cast("string").alias("day"),
         "n_orders",
         dates.sunday_week(day).alias("week"),
         dates.sunday_year_week(day).alias("year_week"),
@@ -254,17 +259,19 @@ def age_parts(t: Tables):
 
 
 @plan("shifted_dates", "D11 D6", """
-SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - INTERVAL 9 DAY AS DATE) AS nine_before,
-       CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS month_after FROM orders""")
+SELECT o_orderkey, CAST(CAST(CAST(o_orderdate AS DATE) - INTERVAL 9 DAY AS DATE) AS VARCHAR) AS nine_before,
+       CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS month_after FROM orders""")
 def shifted_dates(t: Tables):
     day = F.to_date("o_orderdate")
     return t.orders.select(
-        "o_orderkey", F.date_sub(day, 9).alias("nine_before"), F.add_months(day, 1).alias("month_after")
+        "o_orderkey",
+        F.date_sub(day, 9).cast("string").alias("nine_before"),
+        F.add_months(day, 1).cast("string").alias("month_after"),
     )
 
 
 @plan("parse_day_first", "D12 D13", """
-SELECT CAST(min(CAST(o_orderdate AS DATE)) AS DATE) AS first_day, CAST(max(CAST(o_orderdate AS DATE)) AS DATE) AS last_day,
+SELECT CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_day, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_day,
        CAST(count(*) AS BIGINT) AS n_parsed, CAST(0 AS BIGINT) AS n_wrong,
        CAST(count(*) AS BIGINT) AS n_rejected FROM orders""")
 def parse_day_first(t: Tables):
@@ -272,8 +279,8 @@ def parse_day_first(t: Tables):
         F.lit("99/99/"), F.year("o_orderdate").cast("string")).alias("broken"))
     parsed = F.to_date(dates.parse_day_first(F.col("written")))
     return as_text.agg(
-        F.min(parsed).alias("first_day"),
-        F.max(parsed).alias("last_day"),
+        F.min(parsed).cast("string").alias("first_day"),
+        F.max(parsed).cast("string").alias("last_day"),
         F.count(parsed).alias("n_parsed"),
         F.count_if(parsed != F.to_date("o_orderdate")).alias("n_wrong"),
         F.count_if(dates.parse_day_first(F.col("broken")).isNull()).alias("n_rejected"),
@@ -300,7 +307,7 @@ def indicators(t: Tables):
 
 
 @plan("array_hof", "AR3 AR4 AR5 AR6 AR7", """
-SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber))) AS lines,
+SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') AS lines,
        CAST(sum(l_quantity * 2) AS DOUBLE) AS doubled_total, CAST(count(*) FILTER (l_quantity > 25) AS BIGINT) AS n_large,
        max(l_quantity) AS largest, CAST(count(*) AS BIGINT) AS n
 FROM lineitem GROUP BY l_orderkey""")
@@ -312,7 +319,7 @@ def array_hof(t: Tables):
     doubled = F.transform("q", lambda x: x * 2)
     return quantities.select(
         "l_orderkey",
-        F.array_sort(F.array_distinct("ln")).alias("lines"),
+        as_text(F.array_sort(F.array_distinct("ln"))).alias("lines"),
         coll.array_total(doubled).alias("doubled_total"),
         F.size(F.filter("q", lambda x: x > 25)).cast("bigint").alias("n_large"),
         F.element_at(F.reverse(F.array_sort("q")), 1).alias("largest"),
@@ -321,30 +328,30 @@ def array_hof(t: Tables):
 
 
 @plan("array_edits", "AR6 AR7 AR11", """
-SELECT p_partkey, [p_size, p_size % 5, 7, 99] AS appended,
-       list_filter([p_size, p_size % 5, 7], lambda x: x <> 7) AS removed, [7, p_size % 5, p_size] AS reversed, [p_size % 5, 7] AS sliced,
+SELECT p_partkey, array_to_string([p_size, p_size % 5, 7, 99], ',') AS appended,
+       array_to_string(list_filter([p_size, p_size % 5, 7], lambda x: x <> 7), ',') AS removed, array_to_string([7, p_size % 5, p_size], ',') AS reversed, array_to_string([p_size % 5, 7], ',') AS sliced,
        CAST(list_position([p_size, p_size % 5, 7], 7) AS BIGINT) AS position_of_7,
-       list_sort(list_distinct([p_size, p_size % 5, 7, 3])) AS merged_set,
-       p_size % 5 AS nested_item, [p_size, p_size % 5, 7, 1, 2] AS flat FROM part""")
+       array_to_string(list_sort(list_distinct([p_size, p_size % 5, 7, 3])), ',') AS merged_set,
+       p_size % 5 AS nested_item, array_to_string([p_size, p_size % 5, 7, 1, 2], ',') AS flat FROM part""")
 def array_edits(t: Tables):
     base = F.array(F.col("p_size"), F.col("p_size") % 5, F.lit(7))
     nested = F.array(base, F.array(F.lit(1), F.lit(2)))
     return t.part.select("p_partkey", base.alias("b"), nested.alias("nested")).select(
         "p_partkey",
-        F.array_append("b", 99).alias("appended"),
-        F.array_remove("b", 7).alias("removed"),
-        F.reverse("b").alias("reversed"),
-        F.slice("b", 2, 2).alias("sliced"),
+        as_text(F.array_append("b", 99)).alias("appended"),
+        as_text(F.array_remove("b", 7)).alias("removed"),
+        as_text(F.reverse("b")).alias("reversed"),
+        as_text(F.slice("b", 2, 2)).alias("sliced"),
         F.array_position("b", 7).cast("bigint").alias("position_of_7"),
-        F.array_sort(F.array_union("b", F.array(F.lit(3)))).alias("merged_set"),
+        as_text(F.array_sort(F.array_union("b", F.array(F.lit(3))))).alias("merged_set"),
         coll.nested_at(F.col("nested"), 1, 2).alias("nested_item"),
-        F.flatten("nested").alias("flat"),
+        as_text(F.flatten("nested")).alias("flat"),
     )
 
 
 @plan("map_ops", "AR8", """
 SELECT p_partkey, p_brand AS got, 'none' AS missing, 3::BIGINT AS n_after_put, p_size + 1 || '' AS put_value,
-       1::BIGINT AS n_after_remove, ['brand', 'size'] AS keys_found, p_brand || '|' || p_size AS values_joined FROM part""")
+       1::BIGINT AS n_after_remove, 'brand,size' AS keys_found, p_brand || '|' || p_size AS values_joined FROM part""")
 def map_ops(t: Tables):
     base = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
     put = coll.map_put(F.col("m"), F.lit("size"), (F.col("p_size") + 1).cast("string"))
@@ -356,24 +363,26 @@ def map_ops(t: Tables):
         F.size(more).cast("bigint").alias("n_after_put"),
         F.element_at(more, "size").alias("put_value"),
         F.size(coll.map_remove(F.col("m"), F.lit("size"))).cast("bigint").alias("n_after_remove"),
-        F.array_sort(F.map_keys("m")).alias("keys_found"),
+        as_text(F.array_sort(F.map_keys("m"))).alias("keys_found"),
         F.array_join(F.transform(F.map_entries("m"), lambda e: e["value"]), "|").alias("values_joined"),
     )
 
 
 @plan("move_zeros", "AR9", """
-SELECT p_partkey, list_concat(list_filter([p_size % 3, p_size % 2, p_size, p_size % 5], lambda x: x <> 0),
-       list_filter([p_size % 3, p_size % 2, p_size, p_size % 5], lambda x: x = 0)) AS zeros_last FROM part""")
+SELECT p_partkey, array_to_string(list_concat(list_filter([p_size % 3, p_size % 2, p_size, p_size % 5], lambda x: x <> 0),
+       list_filter([p_size % 3, p_size % 2, p_size, p_size % 5], lambda x: x = 0)), ',') AS zeros_last FROM part""")
 def move_zeros(t: Tables):
     size = F.col("p_size")
-    return t.part.select("p_partkey", coll.zeros_last(F.array(size % 3, size % 2, size, size % 5)).alias("zeros_last"))
+    return t.part.select("p_partkey", as_text(coll.zeros_last(F.array(size % 3, size % 2, size, size % 5))).alias("zeros_last"))
 
 
 @plan("square_series", "AR10 AR5", """
-SELECT p_partkey, list_transform(generate_series(1, p_size), lambda x: CAST(x * x AS INTEGER)) AS squares,
+SELECT p_partkey, array_to_string(list_transform(generate_series(1, p_size), lambda x: x * x), ',') AS squares,
        CAST(list_sum(list_transform(generate_series(1, p_size), lambda x: x * x)) AS DOUBLE) AS total FROM part""")
 def square_series(t: Tables):
     squares = coll.squares(F.col("p_size"))
-    return t.part.select("p_partkey", squares.alias("squares")).withColumn(
-        "total", coll.array_total(F.transform("squares", lambda x: x.cast("double")))
+    return t.part.select("p_partkey", squares.alias("s")).select(
+        "p_partkey",
+        as_text(F.col("s")).alias("squares"),
+        coll.array_total(F.transform("s", lambda x: x.cast("double"))).alias("total"),
     )

@@ -51,12 +51,14 @@ def customer_items(t: Tables):
 
 
 @plan("city_payments", "J2 J21", """
-SELECT n.n_name, o.* FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey
+SELECT n.n_name, o.* EXCLUDE (o_orderdate), CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey
 JOIN orders o ON o.o_custkey = c.c_custkey WHERE n.n_name = 'NATION_7'""")
 def city_payments(t: Tables):
     home = t.nation.where(F.col("n_name") == "NATION_7").select("n_nationkey", "n_name")
     people = t.customer.select("c_custkey", "c_nationkey").join(home, F.col("c_nationkey") == F.col("n_nationkey"))
-    return t.orders.join(people, F.col("o_custkey") == F.col("c_custkey")).select("n_name", *t.orders.columns)
+    return t.orders.join(people, F.col("o_custkey") == F.col("c_custkey")).select(
+        "n_name", *[c for c in t.orders.columns if c != "o_orderdate"], F.to_date("o_orderdate").cast("string").alias("day")
+    )
 
 
 @plan("left_chain", "J3 IO12", """
@@ -271,13 +273,13 @@ def agg_of_agg(t: Tables):
 
 @plan("two_ctes", "J21 J3", """
 WITH a AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total_amount FROM orders GROUP BY o_custkey),
-     b AS (SELECT o_custkey, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders GROUP BY o_custkey)
+     b AS (SELECT o_custkey, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_day FROM orders GROUP BY o_custkey)
 SELECT c.c_custkey, c.c_name, a.total_amount, b.last_day FROM customer c
 LEFT JOIN a ON c.c_custkey = a.o_custkey LEFT JOIN b ON c.c_custkey = b.o_custkey""")
 def two_ctes(t: Tables):
     # both blocks group the same rows by the same key: one aggregation serves them
     both = t.orders.groupBy("o_custkey").agg(
-        F.round(F.sum("o_totalprice"), 2).alias("total_amount"), F.to_date(F.max("o_orderdate")).alias("last_day")
+        F.round(F.sum("o_totalprice"), 2).alias("total_amount"), F.to_date(F.max("o_orderdate")).cast("string").alias("last_day")
     )
     joined = t.customer.join(both, F.col("c_custkey") == F.col("o_custkey"), "left")
     return joined.select("c_custkey", "c_name", "total_amount", "last_day")
@@ -307,10 +309,10 @@ def recursive_series(t: Tables):
 @plan("date_spine", "J23 D11", """
 WITH d AS (SELECT CAST(unnest(generate_series(max(CAST(o_orderdate AS DATE)) - INTERVAL 9 DAY,
                   max(CAST(o_orderdate AS DATE))::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM orders)
-SELECT d.day, CAST(count(o_orderkey) AS BIGINT) AS n_orders FROM d
+SELECT CAST(d.day AS VARCHAR) AS day, CAST(count(o_orderkey) AS BIGINT) AS n_orders FROM d
 LEFT JOIN orders ON CAST(o_orderdate AS DATE) = d.day GROUP BY d.day""")
 def date_spine(t: Tables):
-    return ops.date_spine(t.orders, "o_orderdate", 10, "n_orders")
+    return ops.date_spine(t.orders, "o_orderdate", 10, "n_orders").withColumn("day", F.col("day").cast("string"))
 
 
 @plan("same_month_as", "J24 D7 J21", """

@@ -56,10 +56,10 @@ def null_violations(t: Tables):
 
 
 @plan("unique_violations", "DQ2", """
-SELECT user_id, event_type, CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS copies FROM events
+SELECT user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(count(*) AS BIGINT) AS copies FROM events
 GROUP BY ALL HAVING count(*) > 1""")
 def unique_violations(t: Tables):
-    keyed = t.events.select("user_id", "event_type", F.to_date("ts").alias("day"))
+    keyed = t.events.select("user_id", "event_type", F.to_date("ts").cast("string").alias("day"))
     return audits.duplicate_keys(keyed, ["user_id", "event_type", "day"])
 
 

@@ -72,9 +72,9 @@ def snapshot_join(t: Tables):
 
 @plan("view_latest", "IO12 J1", """
 SELECT c.c_name, r.last_day FROM customer c
-JOIN (SELECT o_custkey, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders GROUP BY o_custkey) r ON c.c_custkey = r.o_custkey""")
+JOIN (SELECT o_custkey, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_day FROM orders GROUP BY o_custkey) r ON c.c_custkey = r.o_custkey""")
 def view_latest(t: Tables):
-    latest = t.orders.groupBy("o_custkey").agg(F.to_date(F.max("o_orderdate")).alias("last_day"))
+    latest = t.orders.groupBy("o_custkey").agg(F.to_date(F.max("o_orderdate")).cast("string").alias("last_day"))
     view = tables.create_view(latest, "recent_orders")
     return t.customer.join(view, F.col("c_custkey") == F.col("o_custkey")).select("c_name", "last_day")
 
@@ -93,10 +93,10 @@ def catalog_counts(t: Tables):
 
 
 @plan("param_rows", "P1", """
-SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey = 7""")
+SELECT o_orderkey, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE o_custkey = 7""")
 def param_rows(t: Tables):
     return t.spark.sql(
-        "SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS day FROM {orders} WHERE o_custkey = :cid",
+        "SELECT o_orderkey, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM {orders} WHERE o_custkey = :cid",
         args={"cid": 7},
         orders=t.orders,
     )
