@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.session import materialise
+
 
 def full_union(left: DataFrame, right: DataFrame, on: Column, columns: Sequence[Column], distinct: bool = True) -> DataFrame:
     """Full outer join. ``distinct`` gives the LEFT UNION RIGHT form, which drops repeated rows."""
@@ -39,7 +41,7 @@ def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFra
         F.struct(F.count("*").alias("n"), F.count_if(F.col(other_key).isNull()).alias("nulls")).alias("facts")
     )
     n, nulls = facts.scalar()["n"], facts.scalar()["nulls"]
-    keys = other.select(F.col(other_key).alias("__other"))
+    keys = other.select(F.col(other_key).alias("__other")).distinct()
     allowed = df.where((n == 0) | ((nulls == 0) & F.col(key).isNotNull()))
     return allowed.join(keys, F.col(key) == F.col("__other"), "left_anti")
 
@@ -59,10 +61,12 @@ def above_overall_average(df: DataFrame, measure: str) -> DataFrame:
 def above_group_average(df: DataFrame, key: str, measure: str) -> DataFrame:
     """Rows above their own group's average.
 
-    Averages are combined map-side and joined back, so a large group is never
-    gathered as a window partition would.
+    Averages are combined map-side and written once, then joined back. Read from
+    files they are either small enough to broadcast by their known size, or the
+    join shuffles both sides plainly and adaptive execution can split a hot key;
+    a window partition would gather that key in one task.
     """
-    averages = df.groupBy(F.col(key).alias("__key")).agg(F.avg(measure).alias("__avg"))
+    averages = materialise(df.groupBy(F.col(key).alias("__key")).agg(F.avg(measure).alias("__avg")))
     joined = df.join(averages, (F.col(key) == F.col("__key")) & (F.col(measure) > F.col("__avg")))
     return joined.drop("__key", "__avg")
 

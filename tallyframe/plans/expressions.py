@@ -307,23 +307,22 @@ def indicators(t: Tables):
 
 
 @plan("array_hof", "AR3 AR4 AR5 AR6 AR7", """
-SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') AS lines,
-       CAST(sum(l_quantity * 2) AS DOUBLE) AS doubled_total, CAST(count(*) FILTER (l_quantity > 25) AS BIGINT) AS n_large,
-       max(l_quantity) AS largest, CAST(count(*) AS BIGINT) AS n
-FROM lineitem GROUP BY l_orderkey""")
+WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [l_quantity, l_linenumber::DOUBLE, l_suppkey::DOUBLE, l_quantity] AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_sum(list_transform(x, lambda v: v * 2)) AS doubled_total,
+       CAST(len(list_filter(x, lambda v: v > 25)) AS BIGINT) AS n_large, list_max(x) AS largest,
+       CAST(len(list_distinct(x)) AS BIGINT) AS n_distinct, list_sort(x)[2] AS second_smallest FROM a""")
 def array_hof(t: Tables):
-    # an order has few lines; the arrays are per order, not per hot key
-    quantities = t.lineitem.groupBy("l_orderkey").agg(
-        F.collect_list("l_quantity").alias("q"), F.collect_list("l_linenumber").alias("ln")
+    values = F.array(
+        "l_quantity", F.col("l_linenumber").cast("double"), F.col("l_suppkey").cast("double"), "l_quantity"
     )
-    doubled = F.transform("q", lambda x: x * 2)
-    return quantities.select(
-        "l_orderkey",
-        as_text(F.array_sort(F.array_distinct("ln"))).alias("lines"),
-        coll.array_total(doubled).alias("doubled_total"),
-        F.size(F.filter("q", lambda x: x > 25)).cast("bigint").alias("n_large"),
-        F.element_at(F.reverse(F.array_sort("q")), 1).alias("largest"),
-        F.size("q").cast("bigint").alias("n"),
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return t.lineitem.select(*keys, values.alias("x")).select(
+        *keys,
+        coll.array_total(F.transform("x", lambda v: v * 2)).alias("doubled_total"),
+        F.size(F.filter("x", lambda v: v > 25)).cast("bigint").alias("n_large"),
+        F.element_at(F.reverse(F.array_sort("x")), 1).alias("largest"),
+        F.size(F.array_distinct("x")).cast("bigint").alias("n_distinct"),
+        F.element_at(F.array_sort("x"), 2).alias("second_smallest"),
     )
 
 

@@ -213,5 +213,5 @@ def union_all(t: Tables):
 SELECT l_partkey AS part_key FROM lineitem WHERE l_returnflag = 'R'
 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'""")
 def key_intersection(t: Tables):
-    flagged = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("part_key"))
+    flagged = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("part_key")).distinct()
     return flagged("R").intersect(flagged("A"))
