@@ -20,14 +20,12 @@ SIGNIFICANT = 0.05
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise Pearson correlations as rows (column_a, column_b, r), both orders and the diagonal."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    found = _correlations(df, pairs)
-    mirrored = found.select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r")
-    spread = df.agg(*[F.max(clean_double(c)).alias(c) for c in columns])  # NULL only for an empty column
-    names = ", ".join(f"'{c}', `{c}`" for c in columns)
-    diagonal = spread.selectExpr(f"stack({len(columns)}, {names}) as (`column_a`, `m`)").select(
-        "column_a", F.col("column_a").alias("column_b"), F.when(F.col("m").isNotNull(), 1.0).alias("r")
-    )
-    return found.select("column_a", "column_b", "r").unionByName(mirrored).unionByName(diagonal)
+    aggregates = [F.corr(clean_double(a), clean_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+    aggregates += [F.count(clean_double(c)).alias(f"n_{c}") for c in columns]
+    cells = [f"'{a}', '{b}', r{i}, '{b}', '{a}', r{i}" for i, (a, b) in enumerate(pairs)]
+    cells += [f"'{c}', '{c}', if(`n_{c}` > 0, 1.0D, cast(null as double))" for c in columns]
+    rows = df.agg(*aggregates).selectExpr(f"stack({len(columns) ** 2}, {', '.join(cells)}) as (column_a, column_b, r)")
+    return rows.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
 def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -35,14 +35,14 @@ def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFra
     """NULL-aware NOT IN as an equi anti join.
 
     A NULL on the right leaves no rows; a NULL on the left is dropped unless the
-    right side is empty. The two facts come from one scalar subquery.
+    right side is empty. The distinct right keys are written once and serve both
+    the NULL check and the join.
     """
-    facts = other.agg(
-        F.struct(F.count("*").alias("n"), F.count_if(F.col(other_key).isNull()).alias("nulls")).alias("facts")
-    )
-    n, nulls = facts.scalar()["n"], facts.scalar()["nulls"]
-    keys = other.select(F.col(other_key).alias("__other")).distinct()
-    allowed = df.where((n == 0) | ((nulls == 0) & F.col(key).isNotNull()))
+    keys = materialise(other.select(F.col(other_key).alias("__other")).distinct())
+    n, has_null = F.count("*"), F.count_if(F.col("__other").isNull()) > 0
+    # 2: every row may stay, 1: rows with a key may stay, 0: none
+    allowance = keys.agg(F.when(n == 0, 2).when(has_null, 0).otherwise(1)).scalar()
+    allowed = df.where(allowance >= F.when(F.col(key).isNull(), 2).otherwise(1))
     return allowed.join(keys, F.col(key) == F.col("__other"), "left_anti")
 
 
@@ -72,21 +72,30 @@ def above_group_average(df: DataFrame, key: str, measure: str) -> DataFrame:
 
 
 def group_totals_above_average(df: DataFrame, key: str, measure: str, name: str) -> DataFrame:
-    """Group totals larger than the average group total."""
-    totals = df.groupBy(key).agg(F.sum(measure).alias(name))
+    """Group totals larger than the average group total; the facts are read once."""
+    totals = materialise(df.groupBy(key).agg(F.sum(measure).alias(name)))
     return totals.where(F.col(name) > totals.agg(F.avg(name)).scalar())
 
 
+def with_share(totals: DataFrame, measure: str, name: str = "share_pct") -> DataFrame:
+    """Totals with their percentage of the whole.
+
+    The totals are written once, so what lies below them is not computed again
+    for the overall sum.
+    """
+    kept = materialise(totals)
+    whole = kept.agg(F.sum(measure)).scalar()
+    return kept.withColumn(name, F.try_divide(F.col(measure), whole) * 100)
+
+
 def date_spine(df: DataFrame, timestamp: str, days: int, count_as: str = "n_rows", day_as: str = "day") -> DataFrame:
     """Row count for each of the last ``days`` days up to the latest, zero for empty days.
 
-    Facts are counted per day before they meet the spine of ``days`` rows.
+    Facts are read once into one row per day, which also holds the latest day.
     """
-    day = F.to_date(timestamp)
-    latest = df.agg(F.max(day).alias("latest"))
+    counts = materialise(df.groupBy(F.to_date(timestamp).alias("__day")).agg(F.count("*").alias("__n")))
+    latest = counts.agg(F.max("__day").alias("latest"))
     spine = latest.select(F.explode(F.sequence(F.date_sub("latest", days - 1), F.col("latest"))).alias(day_as))
-    first = latest.select(F.date_sub("latest", days - 1)).scalar()
-    counts = df.where(day >= first).groupBy(day.alias("__day")).agg(F.count("*").alias("__n"))
     joined = spine.join(counts, F.col(day_as) == F.col("__day"), "left")
     return joined.select(day_as, F.coalesce("__n", F.lit(0)).alias(count_as))
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import WEEKDAYS
+from tallyframe.operators.joins import with_share
 from tallyframe.operators.ranking import in_label_order
 
 
@@ -83,17 +84,15 @@ def period_net(totals: DataFrame, period: str) -> DataFrame:
 def weekday_totals(totals: DataFrame, weekday: str) -> DataFrame:
     """Revenue and units from Monday to Sunday with the peak and slowest day marked."""
     week = in_label_order(totals.select(weekday, "gross", "units"), weekday, WEEKDAYS)
-    extremes = totals.agg(F.struct(F.max("gross").alias("top"), F.min("gross").alias("bottom")).alias("e")).scalar()
-    mark = F.when(F.col("gross") == extremes["top"], "peak").when(F.col("gross") == extremes["bottom"], "slowest")
-    return week.withColumn("mark", mark)
+    all_days = Window.partitionBy(F.lit(0))  # seven rows
+    is_top = F.col("gross") == F.max("gross").over(all_days)
+    is_bottom = F.col("gross") == F.min("gross").over(all_days)
+    return week.withColumn("mark", F.when(is_top, "peak").when(is_bottom, "slowest"))
 
 
 def top_totals(totals: DataFrame, key: str, measure: str, n: int) -> DataFrame:
     """The ``n`` keys with the largest measure, with its share of the whole in percent."""
-    whole = totals.agg(F.sum(measure)).scalar()
-    shares = totals.where(F.col(measure).isNotNull()).select(
-        key, measure, (F.try_divide(F.col(measure), whole) * 100).alias("share_pct")
-    )
+    shares = with_share(totals.where(F.col(measure).isNotNull()).select(key, measure), measure)
     return shares.orderBy(F.desc(measure), key).limit(n)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import bin_right_closed
 from tallyframe.operators.quantiles import global_rank, quartile_by_value, quartile_of_rank
+from tallyframe.session import materialise
 
 # Segment edges on the mean score and their names, and the report order.
 SEGMENT_EDGES = (0, 1.5, 2.5, 3.5, 4.1)
@@ -14,16 +15,26 @@ SEGMENT_NAMES = ("At Risk", "Needs Attention", "Loyal", "Champions")
 SEGMENT_ORDER = ("Champions", "Loyal", "Needs Attention", "At Risk")
 
 
-def rfm_table(sales: DataFrame, buyer: str, date: str, revenue: str, latest: Column, n_column: str | None = None) -> DataFrame:
-    """Recency in days to the day after ``latest``, number of lines and revenue per buyer.
+def rfm_table(lines: DataFrame, buyer: str, date: str, n_sales: str, revenue: str) -> DataFrame:
+    """Recency, number of sale lines and revenue per buyer with at least one sale.
 
-    ``n_column`` holds line counts when ``sales`` is already summed, e.g. per order.
+    ``n_sales`` and ``revenue`` hold 1 (0 for a return) and the paid amount of a
+    line, or their sums when lines are already summed, e.g. per order. Recency is
+    in days to the day after the latest date over sales and returns. The buyers
+    are written once; the latest date is then read from them.
     """
-    frequency = F.sum(n_column) if n_column else F.count("*")
-    return sales.groupBy(F.col(buyer).alias("buyer")).agg(
-        (F.datediff(latest, F.to_date(F.max(date))) + 1).alias("recency"),
-        frequency.alias("frequency"),
-        F.sum(revenue).alias("monetary"),
+    is_sale = F.col(n_sales) > 0
+    buyers = materialise(
+        lines.groupBy(F.col(buyer).alias("buyer")).agg(
+            F.to_date(F.max(date)).alias("last_any"),
+            F.to_date(F.max(F.when(is_sale, F.col(date)))).alias("last_sale"),
+            F.sum(n_sales).alias("frequency"),
+            F.sum(F.when(is_sale, F.col(revenue))).alias("monetary"),
+        )
+    )
+    latest = buyers.agg(F.max("last_any")).scalar()
+    return buyers.where(F.col("frequency") > 0).select(
+        "buyer", (F.datediff(latest, F.col("last_sale")) + 1).alias("recency"), "frequency", "monetary"
     )
 
 

@@ -204,9 +204,8 @@ def key_of_extremes(t: Tables):
 SELECT p_type, round(sum(p_retailprice), 2) AS revenue,
        round(100 * sum(p_retailprice) / (SELECT sum(p_retailprice) FROM part), 4) AS share_pct FROM part GROUP BY p_type""")
 def share_of_total(t: Tables):
-    totals = t.part.groupBy("p_type").agg(F.sum("p_retailprice").alias("s"))
-    whole = t.part.agg(F.sum("p_retailprice")).scalar()
-    return totals.select("p_type", F.round("s", 2).alias("revenue"), F.round(100 * F.col("s") / whole, 4).alias("share_pct"))
+    totals = joins.with_share(t.part.groupBy("p_type").agg(F.sum("p_retailprice").alias("s")), "s")
+    return totals.select("p_type", F.round("s", 2).alias("revenue"), F.round("share_pct", 4).alias("share_pct"))
 
 
 @plan("crosstab_long", "A21 A22", """

@@ -154,15 +154,11 @@ def rate_vs_volume(t: Tables):
 
 def buyer_table(t: Tables):
     """Recency, frequency and monetary per buyer; lines are summed per order before the join."""
-    sales = order_lines(t).where(F.col("quantity") > 0)
-    per_order = sales.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.sum("revenue").alias("revenue"))
+    per_order = ops.order_totals(order_lines(t), ["l_orderkey"])
     dated = per_order.join(
         t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
     )
-    # the latest date covers sales and returns: all orders with lines
-    placed = t.orders.join(t.lineitem.select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
-    latest = placed.agg(F.max(F.to_date("o_orderdate"))).scalar()
-    return segments.rfm_table(dated, "o_custkey", "o_orderdate", "revenue", latest, "n_lines")
+    return segments.rfm_table(dated, "o_custkey", "o_orderdate", "n_sales", "gross")
 
 
 RFM = LINES + """, rfm AS (SELECT o_custkey AS buyer,
@@ -214,11 +210,8 @@ def rfm_segments(t: Tables):
  round(quantile_cont({c}, 0.75)::DOUBLE, 4) AS q75, round(quantile_cont({c}, 0.9)::DOUBLE, 4) AS q90, round(CAST(max({c}) AS DOUBLE), 4) AS max FROM rfm"""
     for c in ("recency", "frequency")))
 def rfm_describe(t: Tables):
-    from tallyframe.session import materialise
-
-    table = materialise(buyer_table(t))  # several passes follow: write the joined table once
     asked = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
-    described = describe(table, ["recency", "frequency"], asked)
+    described = describe(buyer_table(t), ["recency", "frequency"], asked)
     return rounded(described, mean=4, std=4, min=4, q25=4, q50=4, q75=4, q90=4, max=4)
 
 

@@ -182,8 +182,10 @@ def test_rfm_matches_pandas(spark):
     n = 300
     pdf = pd.DataFrame({"buyer": rng.integers(0, 40, n), "day": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 300, n), "D"), "paid": rng.random(n) * 90})
     df = spark.createDataFrame(pdf)
-    latest = F.lit("2024-12-01").cast("date")
-    got = segments.rfm_scores(segments.rfm_table(df, "buyer", "day", "paid", latest)).toPandas().set_index("buyer").sort_index()
+    # a return is the latest row of all, by a buyer without sales
+    returned = spark.createDataFrame([(999, pd.Timestamp("2024-12-01").to_pydatetime(), 5.0)], df.schema).withColumn("sale", F.lit(0))
+    lines = df.withColumn("sale", F.lit(1)).unionByName(returned)
+    got = segments.rfm_scores(segments.rfm_table(lines, "buyer", "day", "sale", "paid")).toPandas().set_index("buyer").sort_index()
     snapshot = pd.Timestamp("2024-12-02")
     want = pdf.groupby("buyer").agg(recency=("day", lambda d: (snapshot - d.max()).days), frequency=("day", "count"), monetary=("paid", "sum"))
     want["r"] = pd.qcut(want["recency"], 4, labels=[4, 3, 2, 1]).astype(int)
