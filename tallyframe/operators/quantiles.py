@@ -22,7 +22,8 @@ from tallyframe.session import materialise
 SMALL_ROWS = 200_000
 ROWS_PER_BUCKET = 5_000
 MAX_BUCKETS = 8_192
-SPLITTER_ROWS = 200_000  # rows looked at to place the splitters
+SPLITTER_ROWS = 25_000  # at least so many rows are looked at to place the splitters
+SPLITTER_ROWS_PER_BUCKET = 25
 BROADCAST_ROWS = 100_000  # small sides are broadcast only below this counted size
 
 
@@ -84,9 +85,12 @@ def _small_percentiles(values, columns, probabilities, by):
 
 def _splitters(values: DataFrame, columns: Sequence[str], buckets: int, total: int) -> dict[str, list[float]]:
     """At most ``buckets`` increasing cut points per column (a bounded collect)."""
-    grid = [i / buckets for i in range(1, buckets)]
-    looked_at = values.sample(min(1.0, SPLITTER_ROWS / total), seed=0) if total > SPLITTER_ROWS else values
-    row = looked_at.agg(*[F.percentile_approx(c, grid, F.lit(max(10_000, 4 * buckets))).alias(c) for c in columns]).first()
+    grid = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    accuracy = max(10_000, 4 * buckets)
+    needed = max(SPLITTER_ROWS, SPLITTER_ROWS_PER_BUCKET * buckets)
+    looked_at = values.sample(needed / total, seed=0) if total > needed else values
+    cuts = [F.expr(f"percentile_approx(`{c}`, array({grid}), {accuracy})").alias(c) for c in columns]
+    row = looked_at.agg(*cuts).first()
     return {c: sorted(set(row[c] or [])) for c in columns}
 
 
@@ -180,14 +184,23 @@ def quartile_by_value(df: DataFrame, column: str, name: str, descending: bool =
 
     ``descending`` gives 4 to the lowest quarter. Equal edges raise ``ValueError``.
     """
-    rows = percentiles(df, [column], [0.0, 0.25, 0.5, 0.75, 1.0], **options).orderBy("probability").collect()
-    edges = [r["value"] for r in rows]
-    if None in edges:
-        raise ValueError(f"{column} has no values to cut into quartiles")
-    if len(set(edges)) < len(edges):
-        raise ValueError(f"quartile edges of {column} are not unique: {edges}")
+    return df.withColumn(name, score_by_edges(F.col(column), quartile_edges(df, [column], **options)[column], descending))
+
+
+def quartile_edges(df: DataFrame, columns: Sequence[str], **options) -> dict[str, list[float]]:
+    """Minimum, quartiles and maximum of every column: five numbers per column on the driver."""
+    rows = percentiles(df, columns, [0.0, 0.25, 0.5, 0.75, 1.0], **options).orderBy("probability").collect()
+    edges = {c: [r["value"] for r in rows if r["column"] == c] for c in columns}
+    for column, found in edges.items():
+        if None in found:
+            raise ValueError(f"{column} has no values to cut into quartiles")
+        if len(set(found)) < len(found):
+            raise ValueError(f"quartile edges of {column} are not unique: {found}")
+    return edges
+
+
+def score_by_edges(value: Column, edges: Sequence[float], descending: bool = False) -> Column:
+    """1 to 4 by the right-closed quartile holding the value, or 4 to 1."""
     scores = [4, 3, 2, 1] if descending else [1, 2, 3, 4]
-    value = F.col(column)
     score = F.when(value <= edges[1], scores[0]).when(value <= edges[2], scores[1])
-    score = score.when(value <= edges[3], scores[2]).when(value.isNotNull(), scores[3])
-    return df.withColumn(name, score)
+    return score.when(value <= edges[3], scores[2]).when(value.isNotNull(), scores[3])

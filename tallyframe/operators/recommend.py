@@ -216,7 +216,10 @@ def match_top(
         "slot", "suggestion", "cell", *nutrients, "diet_keys", F.explode("label_keys").alias("label_key")
     ).select("slot", "suggestion", "cell", *nutrients, "label_key", F.explode("diet_keys").alias("diet_key"))
     if grid < 2:  # a single cell per block: there is nothing to rule out
-        blocks = spread.select(*block, "cell").distinct()
+        keys = entries.select("slot", "label_keys", "diet_keys").distinct()
+        blocks = keys.select("slot", "diet_keys", F.explode("label_keys").alias("label_key")).select(
+            "slot", "label_key", F.explode("diet_keys").alias("diet_key")
+        )
         kept = _effective_blocks(wanted, blocks).select(
             *request, "label_key", "diet_key", F.lit(0).alias("cell"), F.lit(True).alias("is_near"), F.lit(True).alias("is_far")
         )

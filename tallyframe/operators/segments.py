@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import bin_right_closed
-from tallyframe.operators.quantiles import global_rank, quartile_by_value, quartile_of_rank
+from tallyframe.operators.quantiles import global_rank, quartile_edges, quartile_of_rank, score_by_edges
 from tallyframe.session import materialise
 
 # Segment edges on the mean score and their names, and the report order.
@@ -48,10 +48,14 @@ def rfm_scores(rfm: DataFrame, **options) -> DataFrame:
     n = ranked.count()
     if n < 2:
         raise ValueError("at least two buyers are needed for quartiles")
-    options = {"rows": n, **options}
-    scored = quartile_by_value(ranked, "recency", "r_score", descending=True, **options)
-    scored = quartile_by_value(scored, "monetary", "m_score", **options)
-    scored = scored.withColumn("f_score", quartile_of_rank(F.col("frequency_rank"), F.lit(n)))
+    edges = quartile_edges(ranked, ["recency", "monetary"], **{"rows": n, **options})
+    scored = ranked.withColumns(
+        {
+            "r_score": score_by_edges(F.col("recency"), edges["recency"], descending=True),
+            "f_score": quartile_of_rank(F.col("frequency_rank"), F.lit(n)),
+            "m_score": score_by_edges(F.col("monetary"), edges["monetary"]),
+        }
+    )
     mean = (F.col("r_score") + F.col("f_score") + F.col("m_score")) / 3
     return scored.withColumn("mean_score", mean).withColumn(
         "segment", bin_right_closed(F.col("mean_score"), SEGMENT_EDGES, SEGMENT_NAMES)
