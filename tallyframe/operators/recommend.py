@@ -58,7 +58,8 @@ ANY_DIET = "Any"
 
 MAX_GRID = 16  # most value classes per gridded nutrient
 GRID_NUTRIENTS = 3
-ENTRIES_PER_CELL = 20_000
+ENTRIES_PER_CELL = 200
+FEW_PAIRS = 20_000_000  # below so many (request, entry) pairs ruling cells out costs more than scoring
 EVERY = "*"
 
 
@@ -201,7 +202,7 @@ def match_top(
     the searched rows) in percent with one decimal; a suggestion counts once with
     its best row. Ties go to the smaller suggestion text. ``exact_cell`` compares
     the whole label cell instead of its labels. ``grid`` sets the value classes per
-    gridded nutrient (default: by catalogue size); it never changes the result.
+    gridded nutrient (default: by the number of pairs); it never changes the result.
     """
     nutrients = [n for n in NUTRIENTS if n in catalogue.columns]
     if not nutrients:
@@ -210,7 +211,7 @@ def match_top(
     wanted = materialise(requests.select(*request, "diet", "conditions", *[f"t_{n}" for n in nutrients]))
     distinct = materialise(_entries(catalogue, suggestions, labels, diet, nutrients, exact_cell))
     if grid is None:
-        grid = max(1, min(MAX_GRID, int((distinct.count() / ENTRIES_PER_CELL) ** (1 / GRID_NUTRIENTS))))
+        grid = _grid_size(wanted.count(), distinct.count())
     entries = _with_cells(distinct, wanted, nutrients, grid)
     spread = entries.select(
         "slot", "suggestion", "cell", *nutrients, "diet_keys", F.explode("label_keys").alias("label_key")
@@ -246,6 +247,13 @@ def match_top(
     )
 
 
+def _grid_size(n_requests: int, n_entries: int) -> int:
+    """Value classes per gridded nutrient: 1 for few pairs, else by catalogue size."""
+    if n_requests * n_entries <= FEW_PAIRS:
+        return 1
+    return max(2, min(MAX_GRID, int((n_entries / ENTRIES_PER_CELL) ** (1 / GRID_NUTRIENTS))))
+
+
 def _cells_to_scan(spread: DataFrame, wanted: DataFrame, nutrients: Sequence[str], top_n: int) -> DataFrame:
     """Per request the cells that can hold a top match (is_near) or the farthest row (is_far)."""
     request, block = ["profile_id", "slot"], ["slot", "label_key", "diet_key"]

@@ -102,11 +102,11 @@ def daily_totals(t: Tables):
 
 
 @plan("timestamp_totals", "A5 D6", """
-SELECT CAST(epoch_us(ts) AS BIGINT) AS ts_us, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(value), 2) AS total_value FROM events GROUP BY ts, CAST(ts AS DATE)""")
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(value), 2) AS total_value FROM events GROUP BY ts, CAST(ts AS DATE)""")
 def timestamp_totals(t: Tables):
     totals = t.events.groupBy("ts", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 2).alias("total_value"))
-    moment = F.unix_micros(F.col("ts").cast("timestamp"))
-    return totals.select(moment.alias("ts_us"), F.col("day").cast("string"), "total_value")
+    moment = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return totals.select(moment.alias("ts"), F.col("day").cast("string"), "total_value")
 
 
 @plan("count_with_details", "A7 J1", """

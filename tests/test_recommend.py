@@ -100,6 +100,12 @@ def test_pruning_leaves_cells_out(spark, profiles):
     assert 0 < kept.where("is_near").count() < searched / 2
 
 
+def test_grid_grows_with_the_pairs():
+    assert R._grid_size(100, 75_000) == 1
+    assert R._grid_size(1_000_000, 75_000) == 7
+    assert R._grid_size(1, 10**9) == R.MAX_GRID
+
+
 def test_exact_cell_mode_compares_whole_cells(profiles, catalogue):
     pdf, df = catalogue
     requests = R.slot_targets(R.daily_targets(profiles)).where("profile_id = 2 AND slot = 'Lunch'")
