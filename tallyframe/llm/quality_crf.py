@@ -23,8 +23,8 @@ from tallyframe.llm.common import fold_of
 TRAIN_DOCUMENTS = 2_000  # labelled documents fitted at most
 TRAIN_LINES = 100  # longer documents are not among them
 STEPS = 120
-RATE = 0.15
-DECAY = 1e-3
+RATE = 0.3
+DECAY = 1e-5
 LETTERS = bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 UPPER, DIGITS = bytes(range(0x41, 0x5B)), bytes(range(0x30, 0x3A))
 SYMBOLS, MARKS, STOPS = b"#*$%&|<>~^=_\\{}[]@", b"!?", b".,;:"
