@@ -7,14 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.bpe import decoded, encoded
-from tallyframe.llm.common import documents, fold_of, text_of
+from tallyframe.llm.common import documents, fold_of, scratch_path, text_of
 from tallyframe.llm.licenses import scan_licenses
+from tallyframe.llm.maxent import score_texts
+from tallyframe.llm.packing import pack
 from tallyframe.llm.quality_crf import quality, train
 from tallyframe.llm.quality_rules import judge
 from tallyframe.llm.sharding import shuffle_into_shards
 from tallyframe.llm.simhash import near_groups
+from tallyframe.llm.token_files import read_tokens, write_tokens
+from tallyframe.llm.winnowing import edit_likeness
 
 RANKS = "byte_bpe_50k.tiktoken"
+WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
+END_ID = 2
+CAPACITY = 1024  # tokens of a packed sequence
 ACCEPT_FROM = 0.3  # score from which a document counts as good
 SHARDS = 16
 
@@ -35,6 +42,14 @@ def op2_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, directory: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_tokens(documents(spark, directory), "doc_id", "text", path, public_tokenizers.path(WORDS), END_ID)
+    return read_tokens(spark, path).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32")
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
     docs = documents(spark, directory)
     model = train(docs, spark.read.parquet(f"{directory}/labels.parquet"), "doc_id", "text")
@@ -51,6 +66,10 @@ def op5_simhash(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op6_winnowing(spark: SparkSession, directory: str) -> DataFrame:
+    return edit_likeness(documents(spark, directory), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     judged = judge(documents(spark, directory).select("doc_id", "text"), "text", "verdict")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -70,9 +89,33 @@ def op8_sharding(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return packed(documents(spark, directory))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    return pack(docs, "doc_id", "text", public_tokenizers.path(BYTES), CAPACITY, END_ID).withColumnRenamed("id", "doc_id")
+
+
+def op10_lm_scoring(spark: SparkSession, directory: str) -> DataFrame:
+    scored = score_texts(documents(spark, directory), "doc_id", "text", fold_of("doc_id") != 1)
+    return scored.withColumnRenamed("id", "doc_id").withColumn("held_out", ~F.col("training")).drop("training")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scans, op2_byte_bpe, op4_quality_classifier, op5_simhash, op7_quality_rules, op8_sharding)
+    for f in (
+        op1_license_scans,
+        op2_byte_bpe,
+        op3_token_files,
+        op4_quality_classifier,
+        op5_simhash,
+        op6_winnowing,
+        op7_quality_rules,
+        op8_sharding,
+        op9_packing,
+        op10_lm_scoring,
+    )
 }
 
 # SQL cannot express voting, tokenizers, trained models, components or permutations;

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialise
+from tallyframe.llm.common import fresh, materialise, text_of
 from tallyframe.operators.components import connected_components
 
 SHARD_ROWS = 20_000  # distinct fingerprints a shard should hold
@@ -168,17 +168,20 @@ def local_groups(values: np.ndarray, home: np.ndarray, query: np.ndarray, bits:
     return root
 
 
-def near_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, bits: int = 2) -> DataFrame:
-    """(id, fingerprint bigint, component): the smallest id reachable over fingerprints at most ``bits`` bits apart.
+def near_groups(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, bits: int = 2, carry: dict[str, Column] | None = None
+) -> DataFrame:
+    """(id, fingerprint bigint, group bigint, component): groups linked by fingerprints at most ``bits`` bits apart.
 
-    Every row is answered; repeated rows and equal texts share a fingerprint. NULL
+    group is one fingerprint of the group, component its smallest id. Every row is
+    answered and has the columns ``carry`` besides, expressions over ``docs``; repeated rows and equal texts share a fingerprint. NULL
     and empty texts have fingerprint zero and are linked like any other. NULL ids are
     passed over when the smallest id is sought; a group without any id gets NULL. An
     empty table gives no rows. The result does not depend on the sample.
     """
-    hashed = materialise(
-        docs.select(F.col(f"`{id_col}`").alias("id"), fingerprints(F.col(f"`{text_col}`").cast("string"), shingle).alias("fingerprint"))
-    )
+    more = carry or {}
+    found = fingerprints(F.col(f"`{text_col}`").cast("string"), shingle).alias("fingerprint")
+    hashed = materialise(docs.select(F.col(f"`{id_col}`").alias("id"), found, *[c.alias(n) for n, c in more.items()]))
     distinct = materialise(hashed.groupBy("fingerprint").agg(F.min("id").alias("first_id")))
     total = distinct.count()
     shards = max(1, min(MAX_SHARDS, total // SHARD_ROWS))
@@ -214,10 +217,26 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, b
     roots = materialise(connected_components(edges, nodes).withColumnRenamed("node", "fingerprint"))
     grouped = distinct.join(roots, "fingerprint").select("fingerprint", "root", "first_id")
     lowest = grouped.groupBy("root").agg(F.min("first_id").alias("lowest"))
-    named = grouped.join(lowest, "root").select("fingerprint", "lowest")
+    named = grouped.join(lowest, "root").select("fingerprint", "root", "lowest")
     labels = materialise(
         distinct.join(named, "fingerprint", "left").select(
-            "fingerprint", F.coalesce("lowest", "first_id").alias("component")
+            "fingerprint", F.coalesce("root", "fingerprint").alias("group"), F.coalesce("lowest", "first_id").alias("component")
         )
     )
-    return hashed.join(labels, "fingerprint").select("id", "fingerprint", "component")
+    return hashed.join(labels, "fingerprint").select("id", "fingerprint", "group", "component", *more)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, bits: int = 2) -> DataFrame:
+    """One row of each near-duplicate group, with all columns of ``docs``.
+
+    The row with the smallest id stays, one without an id only where no row of the
+    group has any; of rows equal in id and text one stays. Rows are recognised by two
+    64-bit hashes of id and text.
+    """
+    first, second = fresh("key"), fresh("key")
+    content = [F.col(f"`{id_col}`"), text_of(text_col)]
+    keys = {first: F.xxhash64(F.lit(1), *content), second: F.xxhash64(F.lit(2), *content)}
+    groups = near_groups(docs, id_col, text_col, shingle, bits, keys)
+    chosen = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", first, second)).alias("row"))
+    keyed = docs.withColumns(keys).join(chosen.select(f"row.{first}", f"row.{second}"), [first, second], "left_semi")
+    return keyed.dropDuplicates([first, second]).drop(first, second)
