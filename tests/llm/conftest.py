@@ -1,9 +1,14 @@
 import os
+import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from awkward_table import awkward_rows  # noqa: E402
+
 ROOT = Path(__file__).resolve().parents[2]
 # Python workers import the package, whatever folder the tests start in.
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), os.environ.get("PYTHONPATH", "")]))
@@ -20,33 +25,6 @@ SCHEMA = T.StructType(
     ]
 )
 SMALL = "/root/testdata/sf0.001"
-LONG = "The quick brown fox, number {}; jumps over the lazy dog. " * 3000
-
-
-def awkward_rows():
-    """(doc_id, text): NULLs, empty and very long texts, ties, repeated rows, repeated and missing ids."""
-    junk = "\n".join(["*** $$$ ||| ### &&&"] * 30)
-    prose = " ".join(f"word{i} stands here." for i in range(80))
-    return [
-        (1, prose),
-        (2, prose),
-        (3, None),
-        (4, ""),
-        (5, " \n\t "),
-        (6, LONG.format(1)),
-        (7, junk),
-        (7, prose + " Released under the MIT License. All rights reserved."),
-        (8, "cc by cc BY general PUBLIC license"),
-        (8, "cc by cc BY general PUBLIC license"),
-        (None, "no id but words"),
-        (None, None),
-        (9, "Größe ÄRGER Σίσυφος İstanbul K 中文 😀"),
-        (10, "a"),
-        (11, "same line\nsame line\n\nother line\nsame line"),
-        (12, "x y z x y z x y z"),
-    ]
-
-
 @pytest.fixture(scope="session")
 def frame(spark):
     def make(rows):
