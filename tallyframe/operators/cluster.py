@@ -15,6 +15,7 @@ from tallyframe.operators.quantiles import percentile_table
 from tallyframe.session import materialise
 
 NOISE = -1
+MAX_ITER = 300  # rounds of k-means and k-medoids before they are said not to settle
 
 
 def _need_two(features: Sequence[str]) -> None:
@@ -22,6 +23,22 @@ def _need_two(features: Sequence[str]) -> None:
         raise ValueError("clustering needs at least two features")
 
 
+def require_values(df: DataFrame, features: Sequence[str]) -> None:
+    """Raise ``ValueError`` naming the features with NULL or NaN: no distance to such a row means anything."""
+    missing = [F.count_if(F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).alias(f) for f in features]
+    found = [f for f, n in df.agg(*missing).first().asDict().items() if n]
+    if found:
+        raise ValueError(f"features with NULL or NaN: {', '.join(found)}")
+
+
+def _stored(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The rows written once, as every clustering reads them many times, and checked for missing values."""
+    _need_two(features)
+    stored = materialise(df)
+    require_values(stored, features)
+    return stored
+
+
 def robust_scale(df: DataFrame, features: Sequence[str], suffix: str = "_scaled", **options) -> DataFrame:
     """(x - median) / interquartile range with exact quartiles; a zero range divides by 1."""
     table = percentile_table(df, features, {"q1": 0.25, "median": 0.5, "q3": 0.75}, **options)
@@ -45,31 +62,59 @@ def label_clusters(cluster: Column, labels: Mapping[int, str] | None = None, noi
 
 
 def _vectors(df: DataFrame, features: Sequence[str], **options) -> DataFrame:
-    _need_two(features)
-    scaled = robust_scale(df, features, "__s", **options)
+    scaled = robust_scale(_stored(df, features), features, "__s", **options)
     inputs = [f + "__s" for f in features]
     return VectorAssembler(inputCols=inputs, outputCol="__features").transform(scaled).drop(*inputs)
 
 
-def _fit_label(estimator, df, features, labels, **options) -> DataFrame:
-    vectors = _vectors(df, features, **options)
-    model = estimator.setFeaturesCol("__features").setPredictionCol("__cluster").fit(vectors)
+def _settled(model, max_iter: int):
+    """The model, unless it used up its rounds without settling."""
+    if model.summary.numIter >= max_iter:
+        raise RuntimeError(f"k-means did not settle in {max_iter} rounds")
+    return model
+
+
+def _labelled(model, vectors: DataFrame, labels) -> DataFrame:
     found = model.transform(vectors)
     return found.withColumn("cluster", label_clusters(F.col("__cluster"), labels)).drop("__features", "__cluster")
 
 
-def kmeans(df: DataFrame, features: Sequence[str], k: int = 3, labels: Mapping[int, str] | None = None, seed: int = 42, **options) -> DataFrame:
-    """K-means on robust-scaled features; adds ``cluster``."""
-    return _fit_label(KMeans(k=k, seed=seed), df, features, labels, **options)
+def kmeans(
+    df: DataFrame,
+    features: Sequence[str],
+    k: int = 3,
+    labels: Mapping[int, str] | None = None,
+    seed: int = 42,
+    max_iter: int = MAX_ITER,
+    **options,
+) -> DataFrame:
+    """K-means on robust-scaled features, run until it settles; adds ``cluster``.
+
+    Raises ``RuntimeError`` if ``max_iter`` rounds do not suffice and ``ValueError``
+    for NULL or NaN features.
+    """
+    vectors = _vectors(df, features, **options)
+    estimator = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__features", predictionCol="__cluster")
+    return _labelled(_settled(estimator.fit(vectors), max_iter), vectors, labels)
 
 
-def bisecting(df: DataFrame, features: Sequence[str], k: int = 3, labels: Mapping[int, str] | None = None, seed: int = 42, **options) -> DataFrame:
+def bisecting(
+    df: DataFrame,
+    features: Sequence[str],
+    k: int = 3,
+    labels: Mapping[int, str] | None = None,
+    seed: int = 42,
+    max_iter: int = MAX_ITER,
+    **options,
+) -> DataFrame:
     """Hierarchical clustering into k groups, top-down by bisecting k-means.
 
     Bottom-up linkage needs all pairwise distances; this is its scalable stand-in
-    and its groups can differ.
+    and its groups can differ. Each split takes up to ``max_iter`` rounds.
     """
-    return _fit_label(BisectingKMeans(k=k, seed=seed), df, features, labels, **options)
+    vectors = _vectors(df, features, **options)
+    estimator = BisectingKMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__features", predictionCol="__cluster")
+    return _labelled(estimator.fit(vectors), vectors, labels)
 
 
 def kmedoids(
@@ -79,21 +124,22 @@ def kmedoids(
     k: int = 3,
     labels: Mapping[int, str] | None = None,
     seed: int = 42,
-    max_rounds: int = 20,
+    max_rounds: int = MAX_ITER,
     **options,
 ) -> DataFrame:
     """K-medoids on robust-scaled features; adds ``cluster`` and ``is_medoid``.
 
     The cost is squared Euclidean distance: the best medoid of a cluster is then
     the member nearest its mean, so a round is two linear aggregations and only k
-    rows reach the driver. Starting medoids are the k smallest seeded hashes.
+    rows reach the driver. Starting medoids are the k smallest md5 of seed and id, so
+    that any engine can repeat them. Raises ``RuntimeError`` if the medoids still move
+    after ``max_rounds`` and ``ValueError`` for NULL or NaN features.
     """
-    _need_two(features)
-    scaled = robust_scale(df, features, "__s", **options)
+    scaled = robust_scale(_stored(df, features), features, "__s", **options)
     names = [f + "__s" for f in features]
     # read many times: kept in memory on top of the written copy
     points = materialise(scaled.select(F.col(row_id).alias("__id"), *names)).persist()
-    start = points.select("*", F.xxhash64(F.lit(seed), "__id").alias("__h")).orderBy("__h", "__id").limit(k).collect()
+    start = points.select("*", F.md5(F.concat(F.lit(f"{seed}:"), F.col("__id").cast("string"))).alias("__h")).orderBy("__h", "__id").limit(k).collect()
     if len(start) < k:
         raise ValueError(f"fewer than {k} rows")
     medoids = [(r["__id"], [r[n] for n in names]) for r in start]
@@ -120,6 +166,8 @@ def kmedoids(
         if moved == medoids:
             break
         medoids = moved
+    else:
+        raise RuntimeError(f"medoids still move after {max_rounds} rounds")
     points.unpersist()
     cluster = _nearest(names, [m[1] for m in medoids])
     out = scaled.withColumns(
@@ -140,13 +188,14 @@ def _nearest(names: Sequence[str], centres: Sequence[Sequence[float]]) -> Column
     return F.array_min(F.array(*options))["i"]
 
 
-def elbow(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 10), seed: int = 42, **options) -> DataFrame:
-    """Inertia and silhouette (squared Euclidean) of k-means for each k."""
+def elbow(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 10), seed: int = 42, max_iter: int = MAX_ITER, **options) -> DataFrame:
+    """Inertia and silhouette (squared Euclidean) of settled k-means for each k."""
     vectors = _vectors(df, features, **options).select("__features").persist()
     try:
         rows = []
         for k in ks:
-            model = KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="__cluster").fit(vectors)
+            estimator = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__features", predictionCol="__cluster")
+            model = _settled(estimator.fit(vectors), max_iter)
             score = ClusteringEvaluator(featuresCol="__features", predictionCol="__cluster").evaluate(model.transform(vectors))
             rows.append((k, float(model.summary.trainingCost), float(score)))
     finally:
@@ -161,7 +210,9 @@ def group_profile(df: DataFrame, by: str, columns: Sequence[str], digits: int =
         aggregates += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std")]
     moments = _stack(df.groupBy(by).agg(*aggregates), columns, ["mean", "std"], keep=[by])
     medians = percentile_table(df, columns, {"median": 0.5}, [by], **options)
-    joined = moments.join(medians, [by, "column"], "left")
+    medians = medians.select(F.col(by).alias("__by"), F.col("column").alias("__column"), "median")
+    same = F.col(by).eqNullSafe(F.col("__by")) & (F.col("column") == F.col("__column"))
+    joined = moments.join(medians, same, "left")
     return joined.select(by, "column", *[F.round(m, digits).alias(m) for m in ("mean", "median", "std")])
 
 

@@ -14,16 +14,15 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.cluster import NOISE, label_clusters, robust_scale
+from tallyframe.operators.cluster import NOISE, label_clusters, require_values, robust_scale
 from tallyframe.operators.components import connected_components
 from tallyframe.operators.quantiles import global_rank
 from tallyframe.session import materialise
 
 MAX_OFFSETS = 1_000  # neighbour cells listed per cell; further dimensions are checked by box distance
-ONE_TASK_ROWS = 100_000  # clusters are numbered by one task only below this counted number
 DIRECT_PAIRS = 4_096  # two boxes are compared point by point below this product of sizes
 
 
@@ -33,6 +32,7 @@ def dbscan_scaled(
     """``dbscan`` on robust-scaled features, labelled ``Cluster i`` or ``Outlier``."""
     if len(features) < 2:
         raise ValueError("clustering needs at least two features")
+    df = materialise(df)
     scaled = robust_scale(df, features, "__s", **options)
     found = dbscan(scaled, row_id, [f + "__s" for f in features], eps, min_samples)
     named = found.withColumn("cluster", label_clusters(F.col("cluster"), noise="Outlier"))
@@ -43,12 +43,14 @@ def dbscan(df: DataFrame, row_id: str, features: Sequence[str], eps: float = 0.5
     """(row_id, cluster) with clusters from 0 in order of their smallest core id, -1 for noise.
 
     ``row_id`` is a unique bigint. A point counts itself as neighbour; a border
-    point joins the smallest cluster number in reach.
+    point joins the smallest cluster number in reach. NULL or NaN features raise
+    ``ValueError``.
     """
     d = len(features)
     xs = [f"x{i}" for i in range(d)]
     side = eps / math.sqrt(d) * (1 - 1e-9)  # the margin keeps rounding from breaking "one cell = neighbours"
-    points = df.select(F.col(row_id).alias("id"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, xs)])
+    points = materialise(df.select(F.col(row_id).alias("id"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, xs)]))
+    require_values(points, xs)
     place = {f"c{i}": F.floor(F.col(x) / F.lit(side)) for i, x in enumerate(xs)}
     # equal points share their fate, so copies become one site with a weight
     placed = materialise(
@@ -76,10 +78,7 @@ def dbscan(df: DataFrame, row_id: str, features: Sequence[str], eps: float = 0.5
     )
     rooted = materialise(connected_components(edges.select("a", "b"), nodes.select("node")))
     roots = rooted.where("node = root").select("root")
-    if roots.count() <= ONE_TASK_ROWS:
-        numbers = roots.withColumn("number", F.row_number().over(Window.orderBy("root")))
-    else:
-        numbers = global_rank(roots, [F.col("root")], "number")
+    numbers = global_rank(roots, [F.col("root")], "number")
     labels = nodes.join(rooted, "node").join(numbers, "root").select("cell", (F.col("number") - 1).cast("int").alias("cluster"))
 
     # border points: sparse, not core, with a core point in reach

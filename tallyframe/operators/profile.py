@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import numbers, text
 from tallyframe.operators.quantiles import clean_double, percentile_table
+from tallyframe.session import materialise
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 MAX_LABELS = 1_000
+MOMENTS = {"count": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"}
 
 
 def _stack(df: DataFrame, columns: Sequence[str], fields: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -33,8 +35,10 @@ def describe(df: DataFrame, columns: Sequence[str], probabilities: dict[str, flo
             ("count", F.count(v)), ("mean", F.avg(v)), ("std", F.stddev_samp(v)), ("min", F.min(v)), ("max", F.max(v))
         ):
             aggregates.append(e.alias(f"{c}__{field}"))
-    moments = _stack(df.agg(*aggregates), columns, ["count", "mean", "std", "min", "max"])
-    quantiles = percentile_table(df, columns, probabilities, **options)
+    counted = df.agg(F.count("*").alias("__rows"), *aggregates).first()  # one row
+    row = df.sparkSession.createDataFrame([counted[1:]], ", ".join(f"`{c}__{f}` {t}" for c in columns for f, t in MOMENTS.items()))
+    moments = _stack(row, columns, list(MOMENTS))
+    quantiles = percentile_table(df, columns, probabilities, **{"rows": counted["__rows"], **options})
     joined = moments.join(quantiles, "column")
     return joined.select("column", "count", "mean", "std", "min", *probabilities, "max")
 
@@ -114,7 +118,7 @@ def add_indicators(df: DataFrame, column: str, vocabulary: Sequence[str] | None
 
 def prepare_features(df: DataFrame, label: str, continuous: Sequence[str], skewed: Sequence[str], vocabulary: Sequence[str] | None = None, **options) -> DataFrame:
     """Explode labels, add indicators, cap outliers on the exploded rows, then log1p the skewed columns."""
-    exploded = explode_labels(df, label)
+    exploded = materialise(explode_labels(df, label))  # read by the fences and by the result
     flagged = add_indicators(exploded, label, vocabulary)
     capped = cap_outliers(flagged, continuous, **options)
     return capped.withColumns({c: F.log1p(c) for c in skewed})
@@ -129,13 +133,25 @@ def auto_bin_count(n: int, low: float, high: float, iqr: float) -> int:
     return max(sturges, math.ceil((high - low) / width)) if width > 0 else sturges
 
 
-def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width bins over [min, max], the last one closed; empty bins count 0."""
+def markers(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
+    """(column, mean, median, q1, q3): the lines drawn into a histogram."""
+    described = describe(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75}, **options)
+    return described.select("column", "mean", "median", "q1", "q3")
+
+
+def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
+    """Equal-width bins over [min, max], the last one closed; empty bins count 0.
+
+    Without ``bins`` their number follows from the data, see ``auto_bin_count``.
+    """
     value = clean_double(column)
-    bounds = df.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
+    bounds = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n")).first()
     low, high = bounds["low"], bounds["high"]
     if low is None:
         raise ValueError(f"{column} has no values")
+    if bins is None:
+        quartiles = percentile_table(df, [column], {"q1": 0.25, "q3": 0.75}).first()
+        bins = auto_bin_count(bounds["n"], low, high, quartiles["q3"] - quartiles["q1"])
     if low == high:
         low, high = low - 0.5, high + 0.5
     place = F.floor((value - F.lit(low)) / F.lit(high - low) * bins)
@@ -156,8 +172,8 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def density_curve(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density on an even grid over [min, max], Scott bandwidth.
 
-    Equal values are counted first; each remaining value meets the fixed grid in
-    its own task and is summed there, so only (tasks x points) sums are shuffled.
+    Each value meets the fixed grid in its own task and is summed there, so only
+    (tasks x points) sums are shuffled.
     """
     value = clean_double(column)
     s = df.agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high")).first()
@@ -166,10 +182,9 @@ def density_curve(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     width = s["sd"] * s["n"] ** (-0.2)
     step = (s["high"] - s["low"]) / (points - 1)
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(s["low"]) + i * F.lit(step))
-    weighted = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("w"))
-    spread = weighted.select("v", "w", F.posexplode(grid).alias("point", "x"))
+    spread = df.select(value.alias("v")).where("v IS NOT NULL").select("v", F.posexplode(grid).alias("point", "x"))
     z = (F.col("x") - F.col("v")) / F.lit(width)
-    total = F.sum(F.col("w") * F.exp(-0.5 * z * z))
+    total = F.sum(F.exp(-0.5 * z * z))
     return spread.groupBy("point", "x").agg((total / (s["n"] * width * math.sqrt(2 * math.pi))).alias("density"))
 
 
@@ -178,20 +193,18 @@ def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), **o
 
     Whiskers end at the last value inside the fences.
     """
-    fences = iqr_fences(df, columns, by, **options)
+    fences = materialise(iqr_fences(df, columns, by, **options))  # a row per column and group, of known size
     entries = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     long = df.selectExpr(*[f"`{b}` as `g_{b}`" for b in by], f"stack({len(columns)}, {entries}) as (`c`, `value`)")
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    # copies of a value are counted before the join, which then carries distinct values only
-    counted = long.groupBy(*[f"g_{b}" for b in by], "c", "value").agg(F.count("*").alias("copies"))
     same = [F.col("c") == F.col("column")] + [F.col(f"g_{b}").eqNullSafe(F.col(b)) for b in by]
     inside = F.col("value").between(F.col("low"), F.col("high"))
     keys = [*by, "column"]
-    ends = counted.join(fences, same).groupBy(*keys, "q1", "median", "q3").agg(
+    ends = long.join(fences, same).groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("copies")).otherwise(0)).alias("n_outliers"),
-        F.sum("copies").alias("n"),
+        F.count_if(~inside).alias("n_outliers"),
+        F.count("*").alias("n"),
     )
     return ends
 

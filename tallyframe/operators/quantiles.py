@@ -1,11 +1,11 @@
 """Exact percentiles and global ranks that do not funnel into one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer, so
-it is used only while the input is small. Above ``SMALL_ROWS`` a percentile is
-found by selection: splitters estimated on a sample cut each column into value
-buckets, one counting pass over all rows finds which bucket holds each wanted
-order statistic, and only those buckets are sorted. The result is exact however
-good or bad the splitters are.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a
+percentile is found by selection, at every size: splitters estimated on a sample cut
+each column into value buckets, one counting pass over all rows finds which bucket
+holds each wanted order statistic, and only the distinct values of those buckets are
+ranked, range partition by range partition. The result is exact however good or bad
+the splitters are, and a crowded bucket is spread over as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 
 from tallyframe.session import materialise
 
-SMALL_ROWS = 200_000
 ROWS_PER_BUCKET = 5_000
 MAX_BUCKETS = 8_192
 SPLITTER_ROWS = 25_000  # at least so many rows are looked at to place the splitters
 SPLITTER_ROWS_PER_BUCKET = 25
-BROADCAST_ROWS = 100_000  # small sides are broadcast only below this counted size
 
 
 def clean_double(name: str) -> Column:
@@ -38,21 +36,25 @@ def percentiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     by: Sequence[str] = (),
-    small_rows: int = SMALL_ROWS,
     rows: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated percentiles as rows (by..., column, probability, value).
 
-    NULL and NaN are ignored; a column without values gives NULL overall and no
-    row per group. ``rows`` saves the counting job when the size is known.
+    NULL and NaN are ignored; a column without values gives a NULL row for each
+    probability overall, and no row in a group. NULL is a group like any other.
+    ``rows`` saves the counting job when the size is known. ``df`` is read three
+    times: store it first if it is costly to make.
     """
     if not columns:
         raise ValueError("no columns given")
     values = df.select(*by, *[clean_double(c).alias(c) for c in columns])
     total = values.count() if rows is None else rows
-    if total <= small_rows:
-        return _small_percentiles(values, columns, probabilities, by)
-    return _selected_percentiles(values, columns, probabilities, by, total)
+    found = _selected_percentiles(values, columns, probabilities, by, total)
+    if by:
+        return found
+    asked = [(c, float(p)) for c in columns for p in dict.fromkeys(probabilities)]
+    grid = df.sparkSession.createDataFrame(asked, "column string, probability double")
+    return grid.join(found, ["column", "probability"], "left")
 
 
 def percentile_table(
@@ -66,23 +68,6 @@ def percentile_table(
     return long.groupBy(*by, "column").agg(*picks)
 
 
-def _long(values: DataFrame, columns: Sequence[str], keep: Sequence[str], field: str) -> DataFrame:
-    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
-    return values.selectExpr(*[f"`{k}`" for k in keep], f"stack({len(columns)}, {pairs}) as (`column`, `{field}`)")
-
-
-def _small_percentiles(values, columns, probabilities, by):
-    grid = F.array(*[F.lit(float(p)) for p in probabilities])
-    wide = values.groupBy(*by).agg(*[F.percentile(F.col(c), grid).alias(c) for c in columns])
-    long = _long(wide, columns, by, "found")
-    if by:
-        long = long.where(F.col("found").isNotNull())
-    else:
-        long = long.withColumn("found", F.coalesce("found", F.transform(grid, lambda _: F.lit(None).cast("double"))))
-    pairs = F.arrays_zip(grid.alias("probability"), F.col("found").alias("value"))
-    return long.select(*by, "column", F.inline(pairs))
-
-
 def _splitters(values: DataFrame, columns: Sequence[str], buckets: int, total: int) -> dict[str, list[float]]:
     """At most ``buckets`` increasing cut points per column (a bounded collect)."""
     grid = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
@@ -128,7 +113,6 @@ def _selected_percentiles(values, columns, probabilities, by, total):
         .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
         .select(*[F.col(g).alias(f"w_{g}") for g in group], F.col("bucket").alias("w_bucket"), "start", "probability", "position", "rank")
     )
-    small = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda side: side)
 
     def same(left):
         keys = [left[g].eqNullSafe(F.col(f"w_{g}")) for g in group]
@@ -136,13 +120,21 @@ def _selected_percentiles(values, columns, probabilities, by, total):
 
     # Only the wanted buckets are shuffled, with equal values collapsed to one row.
     needed = wanted.select(*[f"w_{g}" for g in group], "w_bucket").distinct()
-    counted = long.join(small(needed), same(long), "left_semi").groupBy(*group, "bucket", "value").agg(
-        F.count("*").alias("copies")
+    counted = long.join(needed, same(long), "left_semi").groupBy(*group, "bucket", "value").agg(F.count("*").alias("copies"))
+    ranged = counted.repartitionByRange(*group, "bucket", "value").withColumn("range", F.spark_partition_id())
+    counted = materialise(ranged)
+    cell = [*group, "bucket"]
+    earlier = Window.partitionBy(*cell).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.groupBy(*cell, "range").agg(F.sum("copies").alias("size"))  # a row per range and bucket in it
+    offsets = offsets.select(
+        *[F.col(c).alias(f"o_{c}") for c in [*cell, "range"]], F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("skipped")
     )
-    upto = F.sum("copies").over(Window.partitionBy(*group, "bucket").orderBy("value"))
-    ordered = counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("copies"))
+    at = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in [*cell, "range"]])
+    inside = F.sum("copies").over(Window.partitionBy(*cell, "range").orderBy("value"))
+    placed = counted.withColumn("inside", inside).join(offsets, at).drop(*[f"o_{c}" for c in [*cell, "range"]])
+    ordered = placed.withColumn("upto", F.col("skipped") + F.col("inside")).withColumn("before", F.col("upto") - F.col("copies"))
     offset = F.col("rank") - F.col("start")
-    statistics = ordered.join(small(wanted), same(ordered)).where((offset >= F.col("before")) & (offset < F.col("upto")))
+    statistics = ordered.join(wanted, same(ordered)).where((offset >= F.col("before")) & (offset < F.col("upto")))
     low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
     return statistics.groupBy(*group, "probability").agg(
         (low + (high - low) * (F.max("position") - F.floor(F.max("position")))).alias("value")

@@ -30,8 +30,8 @@ def best_per_key(df: DataFrame, key: Sequence[str], order_by: Sequence[Column])
 
 
 def sample_per_group(df: DataFrame, by: Sequence[str], n: int, row_key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Up to ``n`` rows per group in a seeded pseudo-random order that any rerun repeats."""
-    shuffled = F.xxhash64(F.lit(seed), *[F.col(c) for c in row_key])
+    """Up to ``n`` rows per group in a seeded pseudo-random order (md5 of seed and key) that any engine repeats."""
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in row_key]))
     return top_per_group(df, by, [shuffled, *[F.col(c) for c in row_key]], n)
 
 

@@ -32,10 +32,10 @@ def robust_scale(t: Tables):
 
 
 @plan("balanced_sample", "W6", """
-SELECT source, CAST(least(count(*), 25) AS BIGINT) AS n FROM documents GROUP BY source""")
+SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS rn
+ FROM documents) WHERE rn <= 25""")
 def balanced_sample(t: Tables):
-    sampled = ranking.sample_per_group(t.documents.select("doc_id", "source"), ["source"], 25, ["doc_id"])
-    return sampled.groupBy("source").agg(F.count("*").alias("n"))
+    return ranking.sample_per_group(t.documents.select("doc_id", "source"), ["source"], 25, ["doc_id"])
 
 
 @plan("best_per_key", "W4 W5", """
@@ -62,9 +62,27 @@ def kmedoids(t: Tables):
     return cluster.kmedoids(spending(t), "o_custkey", SPENDING, 3)
 
 
-@plan("dbscan", "AN17 AN20")
+SCALED = """
+WITH RECURSIVE f AS (SELECT o_custkey AS id, count(*)::DOUBLE AS a, avg(o_totalprice) AS b, max(o_totalprice) AS c FROM orders GROUP BY 1),
+q AS (SELECT """ + ", ".join(
+    f"quantile_cont({x}, 0.5) AS {x}2, quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) AS {x}w" for x in "abc") + """ FROM f),
+s AS (SELECT id, """ + ", ".join(f"({x} - {x}2) / CASE WHEN {x}w = 0 THEN 1 ELSE {x}w END AS {x}" for x in "abc") + """ FROM f, q),
+"""
+
+
+@plan("dbscan", "AN17 AN20", SCALED + """
+near AS (SELECT x.id AS i, y.id AS j FROM s x, s y WHERE pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2) <= 0.35 * 0.35),
+core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= 5),
+edges AS (SELECT i, j FROM near SEMI JOIN core ON near.i = core.i WHERE j IN (SELECT i FROM core)),
+reach AS (SELECT i AS node, i AS start FROM core UNION SELECT j, start FROM reach JOIN edges ON node = i WHERE j > start),
+final AS (SELECT node, min(start) AS root FROM reach GROUP BY node),
+numbered AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS number FROM final),
+joined AS (SELECT s.id, coalesce(own.number, min(n.number)) AS number FROM s LEFT JOIN numbered own ON own.node = s.id
+  LEFT JOIN near ON near.i = s.id LEFT JOIN numbered n ON n.node = near.j GROUP BY s.id, own.number)
+SELECT f.id AS o_custkey, CAST(f.a AS BIGINT) AS n_orders, round(f.b, 1) AS mean_price, f.c AS max_price,
+       coalesce('Cluster ' || number, 'Outlier') AS cluster FROM f JOIN joined USING (id)""")
 def dbscan(t: Tables):
-    return density.dbscan_scaled(spending(t), "o_custkey", SPENDING, eps=0.35, min_samples=5)
+    return rounded(density.dbscan_scaled(spending(t), "o_custkey", SPENDING, eps=0.35, min_samples=5), mean_price=1)
 
 
 @plan("bisecting", "AN18 A18")
@@ -74,4 +92,95 @@ def bisecting(t: Tables):
 
 @plan("elbow", "AN19")
 def elbow(t: Tables):
-    return cluster.elbow(spending(t), SPENDING, range(2, 6))
+    return cluster.elbow(spending(t), SPENDING)
+
+
+# Audits: facts about a clustering that hold for any right one, checked against the tables.
+
+
+def _own_centre_share(clustered, features):
+    """Share of rows that lie nearer to their own cluster's scaled mean than to any other, in hundredths."""
+    scaled = materialise(cluster.robust_scale(clustered, features, "__s"))
+    names = [f + "__s" for f in features]
+    centres = scaled.groupBy("cluster").agg(*[F.avg(n).alias(n) for n in names]).collect()  # one row per cluster
+    gaps = [
+        F.struct(sum(((F.col(n) - c[n]) * (F.col(n) - c[n]) for n in names), F.lit(0.0)).alias("gap"), F.lit(c["cluster"]).alias("label"))
+        for c in centres
+    ]
+    nearest = F.array_min(F.array(*gaps))["label"]
+    return scaled.agg(
+        F.count("*").alias("n_rows"),
+        F.countDistinct("cluster").alias("n_clusters"),
+        F.round(F.avg((nearest == F.col("cluster")).cast("double")), 2).alias("own_centre"),
+    )
+
+
+AUDIT = "SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_clusters, 1.0::DOUBLE AS own_centre FROM orders"
+
+
+@plan("kmeans_audit", "AN15", AUDIT)
+def kmeans_audit(t: Tables):
+    return _own_centre_share(cluster.kmeans(spending(t), SPENDING, 3), SPENDING)
+
+
+@plan("bisecting_audit", "AN18", """
+SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_clusters FROM orders""")
+def bisecting_audit(t: Tables):
+    found = cluster.bisecting(spending(t), SPENDING, 3)
+    return found.agg(F.count("*").alias("n_rows"), F.countDistinct("cluster").alias("n_clusters"))
+
+
+@plan("kmedoids_audit", "AN16 AN20", """
+SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_clusters, CAST(3 AS BIGINT) AS n_medoids, TRUE AS nearest FROM orders""")
+def kmedoids_audit(t: Tables):
+    """Every row sits with the medoid nearest to it."""
+    found = materialise(cluster.kmedoids(spending(t), "o_custkey", SPENDING, 3))
+    scaled = materialise(cluster.robust_scale(found, SPENDING, "__s"))
+    names = [f + "__s" for f in SPENDING]
+    gaps = [
+        F.struct(sum(((F.col(n) - m[n]) * (F.col(n) - m[n]) for n in names), F.lit(0.0)).alias("gap"), F.lit(m["cluster"]).alias("label"))
+        for m in scaled.where("is_medoid").collect()  # k rows
+    ]
+    own = F.filter(F.array(*gaps), lambda g: g["label"] == F.col("cluster"))[0]["gap"]
+    return scaled.agg(
+        F.count("*").alias("n_rows"),
+        F.countDistinct("cluster").alias("n_clusters"),
+        F.count_if("is_medoid").alias("n_medoids"),
+        F.every(own <= F.array_min(F.array(*gaps))["gap"]).alias("nearest"),
+    )
+
+
+@plan("elbow_audit", "AN19", "SELECT CAST(8 AS BIGINT) AS n_ks, CAST(2 AS INTEGER) AS first_k, CAST(9 AS INTEGER) AS last_k, TRUE AS falls, TRUE AS in_range")
+def elbow_audit(t: Tables):
+    """Inertia at k = 9 is below that at k = 2, and every silhouette lies in [-1, 1]."""
+    found = cluster.elbow(spending(t), SPENDING)
+    return found.agg(
+        F.count("*").alias("n_ks"),
+        F.min("k").alias("first_k"),
+        F.max("k").alias("last_k"),
+        (F.max_by("inertia", "k") < F.min_by("inertia", "k")).alias("falls"),
+        F.every(F.col("silhouette").between(-1.0, 1.0)).alias("in_range"),
+    )
+
+
+@plan("fixed_groups_profile", "AN20 AN21 A16", """
+WITH s AS (SELECT o_custkey, count(*) AS n_orders, avg(o_totalprice) AS mean_price, max(o_totalprice) AS max_price FROM orders GROUP BY o_custkey),
+g AS (SELECT *, CASE WHEN n_orders < 8 THEN 'few' WHEN n_orders < 13 THEN 'Cluster 1' ELSE 'many' END AS cluster FROM s)
+""" + " UNION ALL ".join(f"""SELECT cluster, '{c}' AS "column", round(avg({c}), 3) AS mean, round(median({c})::DOUBLE, 3) AS median,
+ round(stddev_samp({c}), 3) AS std, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY cluster""" for c in SPENDING))
+def fixed_groups_profile(t: Tables):
+    number = F.when(F.col("n_orders") < 8, 0).when(F.col("n_orders") < 13, 1).otherwise(2)
+    grouped = materialise(spending(t).withColumn("cluster", cluster.label_clusters(number, {0: "few", 2: "many"})))
+    profile = cluster.group_profile(grouped, "cluster", SPENDING)
+    return profile.join(cluster.group_sizes(grouped, "cluster"), "cluster")
+
+
+@plan("sampled_clusters", "W6 AN15 AN21", """
+SELECT source, CAST(least(count(*), 40) AS BIGINT) AS n FROM documents GROUP BY source""")
+def sampled_clusters(t: Tables):
+    """Balanced sample, clustering and sizes in one chain; the clusters of each source add up to its sample."""
+    docs = t.documents.select("doc_id", "source", "n_chars", F.size(F.split("text", "\n")).alias("n_lines"))
+    sampled = ranking.sample_per_group(docs, ["source"], 40, ["doc_id"])
+    clustered = cluster.kmeans(sampled, ["n_chars", "n_lines"], 2)
+    sizes = clustered.groupBy("source", "cluster").agg(F.count("*").alias("n"))
+    return sizes.groupBy("source").agg(F.sum("n").alias("n"))

@@ -151,6 +151,15 @@ def random_scores(t: Tables):
     return t.customer.select("c_custkey", draw.alias("draw")).withColumn("random_score", F.floor("draw"))
 
 
+@plan("random_scores_audit", "M6", """
+SELECT CAST(count(*) AS BIGINT) AS n, TRUE AS in_range, TRUE AS spread FROM customer""")
+def random_scores_audit(t: Tables):
+    """Every draw lies in [0, 100), and the draws differ."""
+    drawn = random_scores(t)
+    inside = F.every((F.col("draw") >= 0) & (F.col("draw") < 100) & (F.col("random_score") == F.floor("draw")))
+    return drawn.agg(F.count("*").alias("n"), inside.alias("in_range"), (F.countDistinct("draw") > F.count("*") / 2).alias("spread"))
+
+
 @plan("log_clip_bins", "M8 M9 M10 M13", """
 SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS log_price, least(greatest(o_totalprice, 50000.0), 400000.0) AS clipped,
        round(sqrt(o_totalprice), 6) AS root,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,11 @@ TABLE_NAMES = (
 ).split()
 
 
+def fresh_name(label: str) -> str:
+    """A table or view name that is nobody else's."""
+    return f"{label}_{uuid.uuid4().hex[:12]}"
+
+
 class Tables:
     """Attribute access to the Parquet tables of one directory."""
 
@@ -25,9 +32,17 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
-    def register_views(self) -> None:
-        for name in TABLE_NAMES:
-            getattr(self, name).createOrReplaceTempView(name)
+    @contextmanager
+    def views(self, *tables: str):
+        """Map from table to a view of it under a fresh name; the views are gone after the block."""
+        names = {name: fresh_name(name) for name in tables or TABLE_NAMES}
+        try:
+            for name, view in names.items():
+                getattr(self, name).createOrReplaceTempView(view)
+            yield names
+        finally:
+            for view in names.values():
+                self.spark.catalog.dropTempView(view)
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,7 @@ from tallyframe.operators import orders as ops
 from tallyframe.operators import ranking, segments
 from tallyframe.operators.profile import describe, histogram
 from tallyframe.plans.registry import Tables, plan
+from tallyframe.session import materialise
 
 LINES = """
 WITH lines AS (SELECT *, l_returnflag = 'R' AS back, l_extendedprice * (1 - l_discount) AS paid FROM lineitem)
@@ -205,19 +206,33 @@ def rfm_segments(t: Tables):
 
 
 @plan("rfm_describe", "AN1 AN30", RFM + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
- round(CAST(min({c}) AS DOUBLE), 4) AS min, round(quantile_cont({c}, 0.25)::DOUBLE, 4) AS q25, round(quantile_cont({c}, 0.5)::DOUBLE, 4) AS q50,
- round(quantile_cont({c}, 0.75)::DOUBLE, 4) AS q75, round(quantile_cont({c}, 0.9)::DOUBLE, 4) AS q90, round(CAST(max({c}) AS DOUBLE), 4) AS max FROM rfm"""
-    for c in ("recency", "frequency")))
+    f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std,
+ round(CAST(min({c}) AS DOUBLE), 2) AS min, round(quantile_cont({c}, 0.25)::DOUBLE, 2) AS q25, round(quantile_cont({c}, 0.5)::DOUBLE, 2) AS q50,
+ round(quantile_cont({c}, 0.75)::DOUBLE, 2) AS q75, round(quantile_cont({c}, 0.9)::DOUBLE, 2) AS q90, round(CAST(max({c}) AS DOUBLE), 2) AS max FROM rfm"""
+    for c in ("recency", "frequency", "monetary")))
 def rfm_describe(t: Tables):
     asked = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
-    described = describe(buyer_table(t), ["recency", "frequency"], asked)
-    return rounded(described, mean=4, std=4, min=4, q25=4, q50=4, q75=4, q90=4, max=4)
+    described = describe(materialise(buyer_table(t)), ["recency", "frequency", "monetary"], asked)
+    return rounded(described, mean=2, std=2, min=2, q25=2, q50=2, q75=2, q90=2, max=2)
 
 
-@plan("recency_histogram", "AN5 AN28", RFM + """, b AS (SELECT min(recency)::DOUBLE AS lo, max(recency)::DOUBLE AS hi FROM rfm),
-h AS (SELECT CAST(least(floor((recency - lo) / (hi - lo) * 40), 39) AS BIGINT) AS bin, count(*) AS n FROM rfm, b GROUP BY 1)
-SELECT CAST(g.bin AS BIGINT) AS bin, round(lo + g.bin * ((hi - lo) / 40), 6) AS left_edge, round(lo + (g.bin + 1) * ((hi - lo) / 40), 6) AS right_edge,
-       CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(generate_series(0, 39)) AS bin) g CROSS JOIN b LEFT JOIN h ON g.bin = h.bin""")
+def _histogram_sql(column: str, bins: int) -> str:
+    return RFM + f""", b AS (SELECT min({column})::DOUBLE AS lo, max({column})::DOUBLE AS hi FROM rfm),
+h AS (SELECT CAST(least(floor(({column} - lo) / (hi - lo) * {bins}), {bins - 1}) AS BIGINT) AS bin, count(*) AS n FROM rfm, b GROUP BY 1)
+SELECT CAST(g.bin AS BIGINT) AS bin, round(lo + g.bin * ((hi - lo) / {bins}), 2) AS left_edge, round(lo + (g.bin + 1) * ((hi - lo) / {bins}), 2) AS right_edge,
+       CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(generate_series(0, {bins - 1})) AS bin) g CROSS JOIN b LEFT JOIN h ON g.bin = h.bin"""
+
+
+@plan("recency_histogram", "AN5 AN28", _histogram_sql("recency", 40))
 def recency_histogram(t: Tables):
-    return rounded(histogram(buyer_table(t), "recency", 40), left_edge=6, right_edge=6)
+    return rounded(histogram(materialise(buyer_table(t)), "recency", 40), left_edge=2, right_edge=2)
+
+
+@plan("frequency_histogram", "AN5 AN28", _histogram_sql("frequency", 30))
+def frequency_histogram(t: Tables):
+    return rounded(histogram(materialise(buyer_table(t)), "frequency", 30), left_edge=2, right_edge=2)
+
+
+@plan("monetary_histogram", "AN5 AN28", _histogram_sql("monetary", 40))
+def monetary_histogram(t: Tables):
+    return rounded(histogram(materialise(buyer_table(t)), "monetary", 40), left_edge=2, right_edge=2)

@@ -71,6 +71,35 @@ def histogram(t: Tables):
     return rounded(profile.histogram(t.orders, "o_totalprice", 40), left_edge=6, right_edge=6)
 
 
+@plan("histogram_auto", "AN5", """
+WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n,
+  2 * (quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25)) / pow(count(*), 1.0 / 3) AS width FROM orders),
+k AS (SELECT *, CAST(greatest(ceil(log2(n) + 1), ceil((hi - lo) / width)) AS BIGINT) AS bins FROM b),
+h AS (SELECT least(floor((o_totalprice - lo) / (hi - lo) * bins), bins - 1)::BIGINT AS bin, count(*) AS n FROM orders, k GROUP BY 1)
+SELECT CAST(g.bin AS BIGINT) AS bin, round(lo + g.bin * ((hi - lo) / bins), 6) AS left_edge, round(lo + (g.bin + 1) * ((hi - lo) / bins), 6) AS right_edge,
+       CAST(coalesce(h.n, 0) AS BIGINT) AS n FROM (SELECT unnest(generate_series(0, bins - 1)) AS bin FROM k) g CROSS JOIN k LEFT JOIN h ON g.bin = h.bin""")
+def histogram_auto(t: Tables):
+    return rounded(profile.histogram(t.orders, "o_totalprice"), left_edge=6, right_edge=6)
+
+
+@plan("histogram_markers", "AN5", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(quantile_cont({c}, 0.25), 4) AS q1,
+ round(quantile_cont({c}, 0.75), 4) AS q3 FROM lineitem""" for c in NUMERIC))
+def histogram_markers(t: Tables):
+    return rounded(profile.markers(t.lineitem, NUMERIC), mean=4, median=4, q1=4, q3=4)
+
+
+@plan("describe_with_nulls", "AN1", """
+WITH d AS (SELECT o.o_totalprice, c.c_acctbal AS gone FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 0) c ON o.o_custkey = c.c_custkey)
+""" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
+ min({c}) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75,
+ max({c}) AS max FROM d""" for c in ("o_totalprice", "gone")))
+def describe_with_nulls(t: Tables):
+    none = t.customer.where("c_custkey < 0").select("c_custkey", F.col("c_acctbal").alias("gone"))
+    joined = t.orders.select("o_custkey", "o_totalprice").join(none, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return rounded(profile.describe(joined, ["o_totalprice", "gone"]), mean=4, std=4, q25=4, q50=4, q75=4)
+
+
 @plan("density_curve", "AN6", """
 WITH s AS (SELECT count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS w, min(value) AS lo, max(value) AS hi FROM events),
 g AS (SELECT point, lo + point * ((hi - lo) / 199) AS x, n, w FROM s, (SELECT unnest(generate_series(0, 199)) AS point))
@@ -164,7 +193,7 @@ p AS (SELECT binary_column, numeric_column, r, 2 * sum(weight * exp(lgamma((v +
         - (v + 1) / 2 * ln(1 + pow(t + i * 0.01, 2) / v))) * 0.01 / 3 AS p_value
       FROM t, (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS weight FROM (SELECT unnest(generate_series(0, 4000)) AS i))
       GROUP BY ALL)
-SELECT binary_column, numeric_column, round(r, 6) AS correlation, round(p_value, 8) AS p_value FROM p
+SELECT binary_column, numeric_column, round(r, 6) AS correlation, round(p_value, 8) AS p_value, printf('%.4e', p_value) AS p_text FROM p
 """
 
 
@@ -173,7 +202,7 @@ SELECT binary_column, numeric_column, round(r, 6) AS correlation, round(p_value,
     for b in ("quality", "toxic") for n in ("n_chars", "n_e")) + ")" + STUDENT)
 def point_biserial(t: Tables):
     tested = association.point_biserial(labelled_documents(t), ["quality", "toxic"], ["n_chars", "n_e"], significant_only=False)
-    return rounded(tested.drop("p_text"), correlation=6, p_value=8)
+    return rounded(tested, correlation=6, p_value=8)
 
 
 @plan("point_biserial_significant", "AN11 ST17 S2", "WITH d AS (SELECT *, (o_orderstatus = 'F')::INTEGER AS done, (o_orderpriority = '1-URGENT')::INTEGER AS urgent, "
@@ -189,7 +218,7 @@ def point_biserial_significant(t: Tables):
         "o_custkey",
     )
     tested = association.point_biserial(orders, ["done", "urgent"], ["o_totalprice", "effort", "o_custkey"])
-    return rounded(tested.drop("p_text"), correlation=6, p_value=8)
+    return rounded(tested, correlation=6, p_value=8)
 
 
 # chi-square tail by Simpson's rule in u = sqrt(x)
@@ -198,7 +227,7 @@ p AS (SELECT categorical_column, binary_column, dof, chi_square, sum(weight * 2
         - pow(sqrt(chi_square) + i * 0.005, 2) / 2 - dof / 2 * ln(2) - lgamma(dof / 2))) * 0.005 / 3 AS p_value
       FROM s, (SELECT i, CASE WHEN i IN (0, 8000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS weight FROM (SELECT unnest(generate_series(0, 8000)) AS i))
       GROUP BY ALL)
-SELECT categorical_column, binary_column, CAST(dof AS BIGINT) AS dof, round(chi_square, 6) AS chi_square, round(p_value, 8) AS p_value FROM p
+SELECT categorical_column, binary_column, CAST(dof AS BIGINT) AS dof, round(chi_square, 6) AS chi_square, round(p_value, 8) AS p_value, printf('%.4e', p_value) AS p_text FROM p
 """
 CELLS = LABELLED + ", k AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS categorical_column, '{b}' AS binary_column, {c} AS level, {b} AS flag, count(*) AS n FROM d GROUP BY ALL"
@@ -216,13 +245,13 @@ s AS (SELECT categorical_column, binary_column, dof, sum(CASE WHEN dof = 1 THEN
 @plan("chi2_grid", "AN12 A22", CELLS + CHI_TAIL)
 def chi2_grid(t: Tables):
     tested = association.chi_square(labelled_documents(t), ["lang", "source", "extent"], ["quality", "toxic"], significant_only=False)
-    return rounded(tested.drop("p_text"), chi_square=6, p_value=8)
+    return rounded(tested, chi_square=6, p_value=8)
 
 
 @plan("chi2_significant", "AN12 S1", CELLS + CHI_TAIL + " WHERE p_value < 0.05")
 def chi2_significant(t: Tables):
     tested = association.chi_square(labelled_documents(t), ["lang", "source", "extent"], ["quality", "toxic"])
-    return rounded(tested.drop("p_text"), chi_square=6, p_value=8)
+    return rounded(tested, chi_square=6, p_value=8)
 
 
 @plan("flag_share", "AN13 A21 S5", LABELLED + ", f AS (" + " UNION ALL ".join(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators import joins, params
-from tallyframe.plans.registry import TABLE_NAMES, Tables, plan
+from tallyframe.plans.registry import TABLE_NAMES, Tables, fresh_name, plan
 from tallyframe.session import scratch_path
 from tallyframe.sources import files, tables
 
@@ -22,6 +22,14 @@ def csv_round_trip(t: Tables):
     return files.read_csv(t.spark, path, CUSTOMER_SCHEMA)
 
 
+@plan("csv_documents", "IO2 IO3", "SELECT doc_id, text, n_chars FROM documents")
+def csv_documents(t: Tables):
+    """Texts with line breaks, quotes and commas; the columns are read in another order than they are written."""
+    path = scratch_path(t.spark, "csv")
+    files.write_csv(t.documents, path)
+    return files.read_csv(t.spark, path, "n_chars bigint, text string, doc_id bigint")
+
+
 @plan("csv_ingest", "IO5", """
 SELECT c_mktsegment, CAST(2 * count(*) AS BIGINT) AS n_rows FROM customer GROUP BY c_mktsegment""")
 def csv_ingest(t: Tables):
@@ -55,9 +63,12 @@ def inline_join(t: Tables):
 @plan("table_create", "IO10", """
 SELECT p_type, CAST(count(*) AS BIGINT) AS n_parts FROM part GROUP BY p_type""")
 def table_create(t: Tables):
-    path = scratch_path(t.spark, "table")
-    created = tables.create_table(t.part.select("p_partkey", "p_type"), "tallyframe_parts", path)
-    return created.groupBy("p_type").agg(F.count("*").alias("n_parts"))
+    name = fresh_name("parts")
+    created = tables.create_table(t.part.select("p_partkey", "p_type"), name, scratch_path(t.spark, "table"))
+    rebuilt = tables.create_table(created.where(F.col("p_partkey").isNotNull()), name, scratch_path(t.spark, "table"))
+    counts = rebuilt.groupBy("p_type").agg(F.count("*").alias("n_parts"))
+    tables.drop_table(t.spark, name)  # the files stay for the lazy result
+    return counts
 
 
 @plan("snapshot_join", "IO11 J8", """
@@ -66,7 +77,7 @@ SELECT c.* FROM customer c WHERE c_custkey IN (SELECT o_custkey FROM orders, a W
 def snapshot_join(t: Tables):
     bar = 1.95 * t.orders.agg(F.avg("o_totalprice")).scalar()
     keys = t.orders.where(F.col("o_totalprice") > bar).select("o_custkey").distinct()
-    snapshot = tables.create_snapshot(keys, "customers_above_average")
+    snapshot = tables.create_snapshot(keys, fresh_name("customers_above_average"))
     return t.customer.join(snapshot, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
@@ -75,21 +86,35 @@ SELECT c.c_name, r.last_day FROM customer c
 JOIN (SELECT o_custkey, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_day FROM orders GROUP BY o_custkey) r ON c.c_custkey = r.o_custkey""")
 def view_latest(t: Tables):
     latest = t.orders.groupBy("o_custkey").agg(F.to_date(F.max("o_orderdate")).cast("string").alias("last_day"))
-    view = tables.create_view(latest, "recent_orders")
+    view = tables.create_view(latest, fresh_name("recent_orders"))
     return t.customer.join(view, F.col("c_custkey") == F.col("o_custkey")).select("c_name", "last_day")
 
 
 @plan("public_view", "IO13", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def public_view(t: Tables):
-    return tables.create_view(t.customer, "customer_public", ["c_custkey", "c_name", "c_mktsegment"])
+    return tables.create_view(t.customer, fresh_name("customer_public"), ["c_custkey", "c_name", "c_mktsegment"])
 
 
 @plan("catalog_counts", "IO14", " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, 'SELECT count(*) FROM {n}' AS statement_text, CAST(count(*) AS BIGINT) AS row_count FROM {n}"
     for n in TABLE_NAMES))
 def catalog_counts(t: Tables):
-    t.register_views()
-    return tables.table_counts(t.spark, TABLE_NAMES)
+    with t.views() as names:
+        counts = tables.table_counts(t.spark, names.values())
+    short = F.create_map(*[F.lit(x) for pair in names.items() for x in reversed(pair)])
+    name = F.element_at(short, F.col("table_name"))
+    return counts.select(
+        name.alias("table_name"), F.replace("statement_text", F.col("table_name"), name).alias("statement_text"), "row_count"
+    )
+
+
+@plan("catalog_columns", "IO14", " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, CAST(row_number() OVER () AS INTEGER) AS position, column_name FROM (DESCRIBE {n})" for n in TABLE_NAMES))
+def catalog_columns(t: Tables):
+    with t.views() as names:
+        listed = tables.table_columns(t.spark, names.values())
+    short = F.create_map(*[F.lit(x) for pair in names.items() for x in reversed(pair)])
+    return listed.select(F.element_at(short, F.col("table_name")).alias("table_name"), "position", "column_name")
 
 
 @plan("param_rows", "P1", """
@@ -110,8 +135,8 @@ def param_total(t: Tables):
 
 @plan("param_table", "P3", "SELECT CAST(count(*) AS BIGINT) AS total_rows FROM customer")
 def param_table(t: Tables):
-    t.customer.createOrReplaceTempView("customer")
-    return params.count_rows_of(t.spark, "customer", TABLE_NAMES)
+    with t.views("customer") as names:
+        return params.count_rows_of(t.spark, names["customer"], names.values())
 
 
 @plan("grouped_lambda", "P4", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,29 @@ def build_session(app_name: str = "tallyframe", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+_stages: list[list[str]] = []  # per open scope, the paths handed out in it
+
+
+def delete_stage(spark: SparkSession, path: str) -> bool:
+    """Delete a folder under the shared folder; anything else is refused."""
+    jvm = spark.sparkContext._jvm
+    target, root = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    if not target.toUri().getPath().startswith(root.toUri().getPath().rstrip("/") + "/"):
+        raise ValueError(f"{path} is not under the shared folder")
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def stages(spark: SparkSession):
+    """Delete the stages written inside the block when it ends; use their results before."""
+    _stages.append([])
+    try:
+        yield
+    finally:
+        for path in _stages.pop():
+            delete_stage(spark, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
@@ -52,8 +76,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, deleted with the innermost ``stages`` block around the call."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _stages:
+        _stages[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:

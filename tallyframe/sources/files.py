@@ -10,13 +10,29 @@ from pyspark.sql import types as T
 INGEST_MODES = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header line and a declared schema (nothing is inferred)."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", False).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
+    """CSV with a header line and a declared schema (nothing is inferred).
+
+    Columns are found by their names in the header, in any order; quotes inside
+    quotes are doubled, and quoted fields may hold line breaks. A field that does not
+    fit its type, or a line that does not fit the header, fails the read. ``multi_line=False``
+    lets a large file without quoted line breaks be split over tasks.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "FAILFAST"}
+    header = spark.read.options(**options).csv(path).columns
+    missing = [f.name for f in wanted.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    types = {f.name: f.dataType for f in wanted.fields}
+    in_file_order = T.StructType([T.StructField(name, types.get(name, T.StringType())) for name in header])
+    return spark.read.schema(in_file_order).options(**options).csv(path).select(*wanted.names)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header; quotes are doubled, blanks at the ends of a field stay, empty strings differ from NULLs."""
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""'}
+    df.write.mode(mode).options(**options, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.session import materialise
+from tallyframe.session import delete_stage, materialise, scratch_path
 
 
 def inline_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
@@ -18,16 +19,22 @@ def inline_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType
 
 
 def create_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Drop ``name`` if it exists, create it from ``df`` and return it."""
+    """Replace ``name`` by a table of the rows of ``df`` and return it.
+
+    The rows are written to a fresh place before the old table is dropped, so a table
+    can be rebuilt from itself and survives a failed write. ``path`` is the folder
+    that holds the versions; by default they lie in the shared folder.
+    """
     spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    writer = df.write.format("parquet").mode("overwrite")
-    (writer.option("path", path) if path else writer).saveAsTable(name)
+    folder = f"{path.rstrip('/')}/{uuid.uuid4().hex}" if path else scratch_path(spark, "table")
+    df.write.parquet(folder)
+    drop_table(spark, name)
+    spark.catalog.createTable(name, path=folder, source="parquet")
     return spark.table(name)
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": name})
 
 
 def create_snapshot(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +45,12 @@ def create_snapshot(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_snapshot(spark: SparkSession, name: str) -> bool:
+    """Drop the view and delete its files; True if there was one."""
+    if not spark.catalog.tableExists(name):
+        return False
+    files = spark.table(name).inputFiles()
+    for folder in {f.rsplit("/", 1)[0] for f in files}:
+        delete_stage(spark, folder)
     return spark.catalog.dropTempView(name)
 
 
@@ -47,6 +60,16 @@ def create_view(df: DataFrame, name: str, columns: Sequence[str] | None = None)
     return df.sparkSession.table(name)
 
 
+def table_columns(spark: SparkSession, names: Iterable[str]) -> DataFrame:
+    """(table_name, position from 1, column_name, data_type, nullable) of each table, from the catalog alone."""
+    rows = [
+        (name, i, f.name, f.dataType.simpleString(), f.nullable)
+        for name in names
+        for i, f in enumerate(spark.table(name).schema.fields, 1)
+    ]
+    return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string, nullable boolean")
+
+
 def table_counts(spark: SparkSession, names: Iterable[str] | None = None, database: str | None = None) -> DataFrame:
     """Row count per table with the statement that yields it.
 

@@ -24,22 +24,20 @@ def data(spark):
     return pdf, spark.createDataFrame(pdf).persist()
 
 
-@pytest.mark.parametrize("small_rows", [10**9, 10])
 @pytest.mark.parametrize("buckets", [5, 400])
-def test_percentiles_match_pandas(data, monkeypatch, small_rows, buckets):
+def test_percentiles_match_pandas(data, monkeypatch, buckets):
     pdf, df = data
     monkeypatch.setattr(Q, "ROWS_PER_BUCKET", 3000 // buckets)
-    got = {(r["column"], r["probability"]): r["value"] for r in Q.percentiles(df, ["x", "hot", "k"], PROBS, small_rows=small_rows).collect()}
+    got = {(r["column"], r["probability"]): r["value"] for r in Q.percentiles(df, ["x", "hot", "k"], PROBS).collect()}
     for c in ("x", "hot", "k"):
         for p in PROBS:
             assert got[c, p] == pytest.approx(pdf[c].quantile(p), rel=1e-12, abs=1e-12)
 
 
-@pytest.mark.parametrize("small_rows", [10**9, 10])
-def test_grouped_percentiles(data, monkeypatch, small_rows):
+def test_grouped_percentiles(data, monkeypatch):
     pdf, df = data
     monkeypatch.setattr(Q, "ROWS_PER_BUCKET", 50)
-    got = {(r["g"], r["column"], r["probability"]): r["value"] for r in Q.percentiles(df, ["x", "hot"], PROBS, ["g"], small_rows=small_rows).collect()}
+    got = {(r["g"], r["column"], r["probability"]): r["value"] for r in Q.percentiles(df, ["x", "hot"], PROBS, ["g"]).collect()}
     assert len(got) == 3 * 2 * len(PROBS)
     for g, part in pdf.groupby("g"):
         for c in ("x", "hot"):
@@ -51,7 +49,7 @@ def test_percentiles_with_misleading_splitters(data, monkeypatch):
     """Selection stays exact when the splitters are useless."""
     pdf, df = data
     monkeypatch.setattr(Q, "_splitters", lambda values, columns, buckets, total: {c: [1e9] for c in columns})
-    got = {r["probability"]: r["value"] for r in Q.percentiles(df, ["hot"], PROBS, small_rows=10).collect()}
+    got = {r["probability"]: r["value"] for r in Q.percentiles(df, ["hot"], PROBS).collect()}
     assert got == pytest.approx({p: pdf["hot"].quantile(p) for p in PROBS})
 
 
@@ -90,3 +88,32 @@ def test_equal_quartile_edges_raise(spark):
     df = spark.createDataFrame([(1.0,)] * 5 + [(2.0,)], "v double")
     with pytest.raises(ValueError, match="not unique"):
         Q.quartile_by_value(df, "v", "q")
+
+
+def test_columns_without_values_keep_their_rows(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None)], "x double, gone double")
+    got = {(r["column"], r["probability"]): r["value"] for r in Q.percentiles(df, ["x", "gone"], [0.0, 0.5]).collect()}
+    assert got == {("x", 0.0): 1.0, ("x", 0.5): 2.0, ("gone", 0.0): None, ("gone", 0.5): None}
+    nothing = df.where("x < 0")
+    assert {r["value"] for r in Q.percentiles(nothing, ["x", "gone"], [0.5]).collect()} == {None}
+
+
+def test_crowded_bucket_is_ranked_range_by_range(spark, monkeypatch):
+    """One bucket holds everything and spreads over several ranges."""
+    rng = np.random.default_rng(8)
+    values = pd.Series(rng.normal(0, 1, 20_000))
+    df = spark.createDataFrame(values.to_frame("v")).repartition(4)
+    monkeypatch.setattr(Q, "_splitters", lambda *_: {"v": [1e9]})
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["probability"]: r["value"] for r in Q.percentiles(df, ["v"], PROBS).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == pytest.approx({p: values.quantile(p) for p in PROBS}, rel=1e-12)
+
+
+def test_null_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("b", None)], "g string, x double")
+    got = {r["g"]: r["value"] for r in Q.percentiles(df, ["x"], [0.5], ["g"]).collect()}
+    assert got == {None: 2.0, "a": 5.0}
