@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-CACHE_UNITS = 400_000  # words kept by a worker; the cache is emptied when full
+CACHE_UNITS = 400_000  # words in one generation of a worker's cache
 CACHED_CHARS = 64  # longer words are not kept
 
 _unsafe = re.compile(r"\s \s|\s \Z").search
@@ -41,10 +40,16 @@ class UnitEncoder:
         if len(marks) != 1:
             raise ValueError("the separator must be a single token")
         self.mark = marks[0]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # the young generation
+        self.old: dict[str, bytes] = {}  # words of the generation before, until they are met again
+        self.firsts: dict[str, bytes] = {}  # words at the start of a text, which have no blank before them
+
+    def _ids(self, text: str) -> np.ndarray:
+        # the fast call leaves out character offsets
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
 
     def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
         blank = " " if self.keep_blank else ""
@@ -54,7 +59,7 @@ class UnitEncoder:
         if not plain:
             return
         text = self.separator.join([blank + w for w in plain])
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        ids = self._ids(text)
         seams = np.flatnonzero(ids == self.mark)
         if len(seams) != len(plain) - 1:
             raise ValueError("separators and words do not match")
@@ -67,28 +72,39 @@ class UnitEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         whole = [self.keep_blank and unsafe_spaces(t) for t in texts]
         units = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        rest = [u[1:] if self.keep_blank else u for u in units]
-        new = set(chain.from_iterable(rest)).difference(self.known)
+        starts = [u.pop(0) if self.keep_blank and u else "" for u in units]
+        new = set().union(*units).difference(self.known)
+        if len(self.known) + len(new) > CACHE_UNITS:
+            self.old, self.known = self.known, {}
+            new = set().union(*units)
+        again = {w: self.old[w] for w in new if w in self.old}
+        self.known.update(again)
+        new.difference_update(again)
         if new:
-            if len(self.known) + len(new) > CACHE_UNITS:
-                self.known.clear()
-                new = set(chain.from_iterable(rest))
-            self._learn(sorted(new), self.known)
+            self._learn(list(new), self.known)
         get = self.known.__getitem__
         out = []
-        for text, cut, first, words in zip(texts, whole, units, rest, strict=True):
+        for text, cut, start, words in zip(texts, whole, starts, units, strict=True):
             if cut:
                 out.append(self._direct(text))
-            elif self.keep_blank:
-                out.append(b"".join([self._direct(first[0]), *map(get, words)]))
             else:
-                out.append(b"".join(map(get, words)))
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
+                out.append(b"".join([self._first(start), *map(get, words)]))
         for word in [w for w in new if len(w) > CACHED_CHARS]:
             self.known.pop(word, None)
         return out
 
+    def _first(self, word: str) -> bytes:
+        if word == "":
+            return b""
+        ids = self.firsts.get(word)
+        if ids is None:
+            ids = self._direct(word)
+            if len(word) <= CACHED_CHARS:
+                if len(self.firsts) >= CACHE_UNITS // 8:
+                    self.firsts.clear()
+                self.firsts[word] = ids
+        return ids
+
 
 @lru_cache(maxsize=4)
 def unit_encoder(path: str, keep_blank: bool) -> UnitEncoder:
