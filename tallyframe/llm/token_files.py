@@ -43,7 +43,9 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        keys = (symbols[:-1] << 32) | symbols[1:]
+        narrow = first + total <= 1 << 16  # pairs of 16-bit symbols sort twice as fast
+        keys = (symbols[:-1] << (16 if narrow else 32)) | symbols[1:]
+        keys = keys.astype(np.uint32 if narrow else np.int64)
         ordered = np.sort(keys)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(edge, len(ordered)))
@@ -64,7 +66,8 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         stays = np.ones(len(symbols), bool)
         stays[at + 1] = False
         symbols = symbols[stays]
-        made.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
+        pairs = pairs.astype(np.int64)
+        made.append(np.stack([pairs >> 16, pairs & 0xFFFF] if narrow else [pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
         total += len(pairs)
     rules = np.concatenate(made) if made else np.empty((0, 2), np.int64)
     return symbols, rules, first
@@ -74,11 +77,12 @@ def _places(keys: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Positions of ``pairs`` (ascending) among ``keys`` and which pair; of overlapping ones every second from the left."""
     if not len(pairs):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    spread = np.uint64(0x9E3779B97F4A7C15)
-    shift = np.uint64(64 - FILTER_BITS)
+    wide = keys.dtype.itemsize * 8
+    kind = np.uint64 if wide == 64 else np.uint32
+    spread, shift = kind(0x9E3779B97F4A7C15 >> (64 - wide)), kind(wide - FILTER_BITS)
     may = np.zeros(1 << FILTER_BITS, bool)
-    may[(pairs.astype(np.uint64) * spread) >> shift] = True
-    at = np.flatnonzero(may[(keys.astype(np.uint64) * spread) >> shift])
+    may[(pairs.astype(kind) * spread) >> shift] = True
+    at = np.flatnonzero(may[(keys.astype(kind) * spread) >> shift])
     rule = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
     hit = pairs[rule] == keys[at]
     at, rule = at[hit], rule[hit]
