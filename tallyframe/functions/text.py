@@ -86,7 +86,8 @@ def is_upper(column: Column) -> Column:
 
 
 def is_title(column: Column) -> Column:
-    return column.rlike("[A-Za-z]") & (column == F.initcap(column))
+    """Every run of letters starts upper case and goes on lower case, whatever separates the runs."""
+    return column.rlike("[A-Za-z]") & ~column.rlike(r"(?<!\p{L})\p{Ll}") & ~column.rlike(r"\p{L}\p{Lu}")
 
 
 def split_labels(column: Column, separator: str = ", ") -> Column:

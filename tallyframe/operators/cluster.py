@@ -131,18 +131,16 @@ def kmedoids(
 
     The cost is squared Euclidean distance: the best medoid of a cluster is then
     the member nearest its mean, so a round is two linear aggregations and only k
-    rows reach the driver. Starting medoids are the k smallest md5 of seed and id, so
-    that any engine can repeat them. Raises ``RuntimeError`` if the medoids still move
-    after ``max_rounds`` and ``ValueError`` for NULL or NaN features.
+    rows reach the driver. Starting medoids are drawn one by one, a row's chance growing
+    with its distance from those drawn (``_spread_start``). Raises ``RuntimeError`` if
+    the medoids still move after ``max_rounds`` and ``ValueError`` for NULL or NaN
+    features.
     """
     scaled = robust_scale(_stored(df, features), features, "__s", **options)
     names = [f + "__s" for f in features]
     # read many times: kept in memory on top of the written copy
     points = materialise(scaled.select(F.col(row_id).alias("__id"), *names)).persist()
-    start = points.select("*", F.md5(F.concat(F.lit(f"{seed}:"), F.col("__id").cast("string"))).alias("__h")).orderBy("__h", "__id").limit(k).collect()
-    if len(start) < k:
-        raise ValueError(f"fewer than {k} rows")
-    medoids = [(r["__id"], [r[n] for n in names]) for r in start]
+    medoids = _spread_start(points, names, k, seed)
     for _ in range(max_rounds):
         assigned = points.withColumn("__c", _nearest(names, [m[1] for m in medoids]))
         means = {
@@ -176,6 +174,26 @@ def kmedoids(
     return out.drop(*names)
 
 
+def _spread_start(points: DataFrame, names: Sequence[str], k: int, seed: int) -> list[tuple]:
+    """k different rows as (id, place), each drawn with chances by squared distance from the nearest one before.
+
+    One pass a row: the smallest exponential draw, made from md5 of seed, step and id
+    so that a repeated task draws the same, divided by the row's weight.
+    """
+    chosen: list[tuple] = []
+    for step in range(k):
+        digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(step), F.col("__id").cast("string")))
+        uniform = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+        weight = F.array_min(F.array(*[_distance2(names, place) for _, place in chosen])) if chosen else F.lit(1.0)
+        draw = F.when(weight > 0, -F.log(uniform) / weight).otherwise(float("inf"))
+        taken = F.coalesce(F.col("__id").isin([c for c, _ in chosen]), F.lit(False))
+        row = points.where(~taken).agg(F.min(F.struct(draw.alias("__draw"), "__id", *names)).alias("row")).first()["row"]
+        if row is None:
+            raise ValueError(f"fewer than {k} rows")
+        chosen.append((row["__id"], [row[n] for n in names]))
+    return chosen
+
+
 def _distance2(names: Sequence[str], centre: Sequence[float]) -> Column:
     total = F.lit(0.0)
     for n, c in zip(names, centre):

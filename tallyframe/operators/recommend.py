@@ -59,7 +59,6 @@ ANY_DIET = "Any"
 MAX_GRID = 16  # most value classes per gridded nutrient
 GRID_NUTRIENTS = 3
 ENTRIES_PER_CELL = 200
-FEW_PAIRS = 20_000_000  # below so many (request, entry) pairs ruling cells out costs more than scoring
 EVERY = "*"
 
 
@@ -121,7 +120,7 @@ def _entries(catalogue: DataFrame, suggestions: Mapping[str, str], labels: str,
     rows = catalogue.select(
         F.array_append(keys, F.lit(EVERY)).alias("label_keys"),
         F.array_compact(F.array(F.lit(EVERY), F.concat(F.lit("="), F.lower(F.col(diet))))).alias("diet_keys"),
-        *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in nutrients],
+        *[F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(n) for n in nutrients],
         F.inline(slots),
     )
     return rows.where(text.is_present(F.col("suggestion"))).distinct()
@@ -132,8 +131,6 @@ def _with_cells(entries: DataFrame, wanted: DataFrame, nutrients: Sequence[str],
 
     Two one-row aggregates choose the nutrients and their approximate class limits.
     """
-    if grid < 2:
-        return entries.withColumn("cell", F.lit(0))
     marks = [i / grid for i in range(1, grid)]
     limits = entries.agg(*[F.percentile_approx(n, marks).alias(n) for n in nutrients]).first()
     typical = wanted.agg(*[F.avg(F.abs(f"t_{n}")).alias(n) for n in nutrients]).first()
@@ -202,7 +199,8 @@ def match_top(
     the searched rows) in percent with one decimal; a suggestion counts once with
     its best row. Ties go to the smaller suggestion text. ``exact_cell`` compares
     the whole label cell instead of its labels. ``grid`` sets the value classes per
-    gridded nutrient (default: by the number of pairs); it never changes the result.
+    gridded nutrient (default: by the size of the catalogue, at least 2); it never
+    changes the result. NULL and NaN nutrients count as 0.
     """
     nutrients = [n for n in NUTRIENTS if n in catalogue.columns]
     if not nutrients:
@@ -211,46 +209,35 @@ def match_top(
     wanted = materialise(requests.select(*request, "diet", "conditions", *[f"t_{n}" for n in nutrients]))
     distinct = materialise(_entries(catalogue, suggestions, labels, diet, nutrients, exact_cell))
     if grid is None:
-        grid = _grid_size(wanted.count(), distinct.count())
-    entries = _with_cells(distinct, wanted, nutrients, grid)
+        grid = _grid_size(distinct.count())
+    entries = _with_cells(distinct, wanted, nutrients, max(2, grid))
     spread = entries.select(
         "slot", "suggestion", "cell", *nutrients, "diet_keys", F.explode("label_keys").alias("label_key")
     ).select("slot", "suggestion", "cell", *nutrients, "label_key", F.explode("diet_keys").alias("diet_key"))
-    if grid < 2:  # a single cell per block: there is nothing to rule out
-        keys = entries.select("slot", "label_keys", "diet_keys").distinct()
-        blocks = keys.select("slot", "diet_keys", F.explode("label_keys").alias("label_key")).select(
-            "slot", "label_key", F.explode("diet_keys").alias("diet_key")
-        )
-        kept = _effective_blocks(wanted, blocks).select(
-            *request, "label_key", "diet_key", F.lit(0).alias("cell"), F.lit(True).alias("is_near"), F.lit(True).alias("is_far")
-        )
-        kept = kept.join(wanted.drop("diet", "conditions"), request)
-    else:
-        kept = _cells_to_scan(spread, wanted, nutrients, top_n)
-    kept = materialise(kept)
+    kept = materialise(_cells_to_scan(spread, wanted, nutrients, top_n))
 
+    # one scoring pass gives the best row of each suggestion and the farthest row
     distance = F.sqrt(_weighted(nutrients, lambda n: F.col(n) - F.col(f"t_{n}")))
-
-    def score(cells_to_scan):
-        return cells_to_scan.join(spread, [*block, "cell"]).withColumn("distance", distance)
-
-    best = score(kept.where("is_near")).groupBy(*request, "suggestion").agg(
-        F.min(F.struct("distance", *nutrients)).alias("row")
+    scored = kept.join(spread, [*block, "cell"]).withColumn("distance", distance)
+    per_suggestion = materialise(
+        scored.groupBy(*request, "suggestion").agg(
+            F.min(F.when(F.col("is_near"), F.struct("distance", *nutrients))).alias("row"),
+            F.max(F.when(F.col("is_far"), F.col("distance"))).alias("far"),
+        )
     )
+    best = per_suggestion.where(F.col("row").isNotNull())
     ranked = top_per_group(
         best.select(*request, "suggestion", "row.*"), request, [F.col("distance"), F.col("suggestion")], top_n, "rank"
     )
-    largest = score(kept.where("is_far")).groupBy(*request).agg(F.max("distance").alias("largest"))
+    largest = per_suggestion.groupBy(*request).agg(F.max("far").alias("largest"))
     relative = F.col("distance") / F.when(F.col("largest") > 0, F.col("largest")).otherwise(1.0)
     return ranked.join(largest, request).select(
         *request, "rank", "suggestion", F.round((1 - relative) * 100, 1).alias("match_score"), "distance", *nutrients
     )
 
 
-def _grid_size(n_requests: int, n_entries: int) -> int:
-    """Value classes per gridded nutrient: 1 for few pairs, else by catalogue size."""
-    if n_requests * n_entries <= FEW_PAIRS:
-        return 1
+def _grid_size(n_entries: int) -> int:
+    """Value classes per gridded nutrient, by catalogue size."""
     return max(2, min(MAX_GRID, int((n_entries / ENTRIES_PER_CELL) ** (1 / GRID_NUTRIENTS))))
 
 

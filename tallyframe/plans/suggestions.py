@@ -1,7 +1,7 @@
 """Recommendation queries.
 
-Profiles are one per nation, summed up from all its customers; the catalogue is
-one row per part. Both are derived from whole tables.
+The searches are the customers whose key is divisible by 50, a stated set that grows
+with the data; the catalogue is every part.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from tallyframe.plans.sales import rounded
 from tallyframe.session import materialise, scratch_path
 from tallyframe.sources import files
 
-# Condition, diet and activity names of the matching vocabulary.
-CONDITIONS = ["Acne", "Diabetes", "Heart Disease", "Hypertension", "Kidney Disease", "Weight Gain", "Weight Loss"]
+# Diet names of the matching vocabulary.
+CONDITIONS = sorted(recommend.CONDITION_FACTORS)
 DIETS = ["Vegetarian", "Vegan", "Omnivore", "Pescatarian"]
-ACTIVITIES = ["Sedentary", "Lightly Active", "Moderately Active", "Very Active", "Extremely Active", "Unknown"]
+ACTIVITIES = [*recommend.ACTIVITY_FACTORS, "Unknown"]
 SUGGESTIONS = {"Breakfast": "breakfast", "Lunch": "lunch", "Snacks": "snack", "Dinner": "dinner"}
 NUTRIENTS = list(recommend.NUTRIENTS)
 
@@ -27,18 +27,17 @@ def _pick(names, index):
 
 
 def profiles(t: Tables):
-    people = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.max("c_custkey").alias("top_key"))
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey")
     first, second = _pick(CONDITIONS, k % 7), _pick(CONDITIONS, (k * 3 + 1) % 7)
     conditions = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(first)).otherwise(F.array(first, second))
-    return t.nation.join(people, k == F.col("c_nationkey")).select(
+    return t.customer.where(k % 50 == 0).select(
         k.alias("profile_id"),
-        (20 + k).alias("age"),
-        (50 + F.col("n") % 40).cast("double").alias("weight_kg"),
-        (150 + F.col("top_key") % 50).cast("double").alias("height_cm"),
+        (20 + k % 60).alias("age"),
+        (50 + F.col("c_nationkey") * 2).cast("double").alias("weight_kg"),
+        (150 + k % 47).cast("double").alias("height_cm"),
         F.when(k % 2 == 0, "Male").otherwise("Female").alias("gender"),
         _pick(ACTIVITIES, k % 6).alias("activity_level"),
-        _pick([*DIETS, "Any"], k % 5).alias("diet"),
+        _pick([*DIETS, "Any"], F.expr("c_custkey div 50") % 5).alias("diet"),
         conditions.alias("conditions"),
     )
 
@@ -74,17 +73,20 @@ def _factor(nutrient: str) -> str:
     return f"(CASE WHEN len(conditions) > 0 THEN {at(1)} ELSE 1.0::DOUBLE END * CASE WHEN len(conditions) > 1 THEN {at(2)} ELSE 1.0::DOUBLE END)"
 
 
+def _energy(c) -> str:
+    return f"{c[0]}::DOUBLE + {c[1]}::DOUBLE * weight_kg + {c[2]}::DOUBLE * height_cm + {c[3]}::DOUBLE * age"
+
+
 PROFILES_SQL = f"""
-WITH u AS (SELECT n_nationkey AS profile_id, 20 + n_nationkey AS age, (50 + n % 40)::DOUBLE AS weight_kg, (150 + top_key % 50)::DOUBLE AS height_cm,
-  CASE WHEN n_nationkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender, {_list(ACTIVITIES)}[n_nationkey % 6 + 1] AS activity_level,
-  {_list([*DIETS, 'Any'])}[n_nationkey % 5 + 1] AS diet,
-  CASE n_nationkey % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [{_list(CONDITIONS)}[n_nationkey % 7 + 1]]
-    ELSE [{_list(CONDITIONS)}[n_nationkey % 7 + 1], {_list(CONDITIONS)}[(n_nationkey * 3 + 1) % 7 + 1]] END AS conditions
-  FROM nation JOIN (SELECT c_nationkey, count(*) AS n, max(c_custkey) AS top_key FROM customer GROUP BY 1) ON c_nationkey = n_nationkey),
-energy AS (SELECT *, CASE WHEN gender = 'Male' THEN 88.362::DOUBLE + 13.397::DOUBLE * weight_kg + 4.799::DOUBLE * height_cm + -5.677::DOUBLE * age
-  ELSE 447.593::DOUBLE + 9.247::DOUBLE * weight_kg + 3.098::DOUBLE * height_cm + -4.330::DOUBLE * age END
-  * CASE activity_level WHEN 'Sedentary' THEN 1.2::DOUBLE WHEN 'Lightly Active' THEN 1.375::DOUBLE WHEN 'Moderately Active' THEN 1.55::DOUBLE
-    WHEN 'Very Active' THEN 1.725::DOUBLE WHEN 'Extremely Active' THEN 1.9::DOUBLE ELSE 1.55::DOUBLE END AS total FROM u),
+WITH u AS (SELECT c_custkey AS profile_id, 20 + c_custkey % 60 AS age, (50 + c_nationkey * 2)::DOUBLE AS weight_kg, (150 + c_custkey % 47)::DOUBLE AS height_cm,
+  CASE WHEN c_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender, {_list(ACTIVITIES)}[c_custkey % 6 + 1] AS activity_level,
+  {_list([*DIETS, 'Any'])}[c_custkey // 50 % 5 + 1] AS diet,
+  CASE c_custkey % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [{_list(CONDITIONS)}[c_custkey % 7 + 1]]
+    ELSE [{_list(CONDITIONS)}[c_custkey % 7 + 1], {_list(CONDITIONS)}[(c_custkey * 3 + 1) % 7 + 1]] END AS conditions
+  FROM customer WHERE c_custkey % 50 = 0),
+energy AS (SELECT *, CASE WHEN gender = 'Male' THEN {_energy(recommend.ENERGY_MALE)} ELSE {_energy(recommend.ENERGY_OTHER)} END
+  * CASE activity_level {' '.join(f"WHEN '{a}' THEN {f}::DOUBLE" for a, f in recommend.ACTIVITY_FACTORS.items())}
+    ELSE {recommend.DEFAULT_ACTIVITY_FACTOR}::DOUBLE END AS total FROM u),
 targets AS (SELECT profile_id, diet, conditions, total * {_factor('calories')} AS t_calories, total * 0.30::DOUBLE / 4 * {_factor('protein')} AS t_protein,
   total * 0.40::DOUBLE / 4 * {_factor('carbohydrates')} AS t_carbohydrates, total * 0.30::DOUBLE / 9 * {_factor('fat')} AS t_fat,
   CASE WHEN gender = 'Female' THEN 25::DOUBLE ELSE 38::DOUBLE END * {_factor('fiber')} AS t_fiber,
@@ -135,10 +137,9 @@ def matches(t: Tables, top_n: int = 5):
 
 @plan("match_topn", "RC3 RC4 PF12 PF13 W4 W5 M10", MATCH_SQL + """
 SELECT profile_id, slot, CAST(rank AS INTEGER) AS rank, suggestion, round((1 - distance / largest) * 100, 1) AS match_score,
-       round(distance, 6) AS distance FROM top WHERE rank <= 5""")
+       round(distance, 6) AS distance, """ + ", ".join(f"round({n}, 4) AS {n}" for n in NUTRIENTS) + """ FROM top WHERE rank <= 5""")
 def match_topn(t: Tables):
-    found = matches(t).select("profile_id", "slot", "rank", "suggestion", "match_score", "distance")
-    return rounded(found, distance=6)
+    return rounded(matches(t), distance=6, **dict.fromkeys(NUTRIENTS, 4))
 
 
 @plan("day_summary", "RC5", MATCH_SQL + f""",
@@ -154,9 +155,9 @@ def day_summary(t: Tables):
 
 @plan("plan_export", "RC6 U3 IO3", MATCH_SQL + """
 SELECT profile_id, slot AS meal_slot, CAST(rank AS INTEGER) AS rank, round((1 - distance / largest) * 100, 1) AS match_score,
-       suggestion AS suggested_meal, protein FROM top WHERE rank <= 3""")
+       suggestion AS suggested_meal, """ + ", ".join(f"round({n}, 4) AS {n}" for n in NUTRIENTS) + """ FROM top WHERE rank <= 3""")
 def plan_export(t: Tables):
     path = scratch_path(t.spark, "plan")
-    rows = recommend.plan_rows(matches(t, 3)).select("profile_id", "meal_slot", "rank", "match_score", "suggested_meal", "protein")
+    rows = rounded(recommend.plan_rows(matches(t, 3)), **dict.fromkeys(NUTRIENTS, 4))
     files.write_csv(rows, path)
     return files.read_csv(t.spark, path, rows.schema)

@@ -44,8 +44,11 @@ def jdbc_options(backend: str, settings: Mapping[str, str]) -> dict[str, str]:
 def settings_from_env(env: Mapping[str, str] | None = None) -> dict[str, str]:
     """Connection settings from DB_* variables; there are no default secrets."""
     env = os.environ if env is None else env
-    keys = ("host", "port", "database", "table", "user", "password")
-    names = ("DB_HOST", "DB_PORT", "DB_NAME", "DB_TABLE", "DB_USER", "DB_PASSWORD")
+    keys = ("host", "port", "database", "table", "user", "password", "partition_column", "lower", "upper", "partitions")
+    names = (
+        "DB_HOST", "DB_PORT", "DB_NAME", "DB_TABLE", "DB_USER", "DB_PASSWORD",
+        "DB_PARTITION_COLUMN", "DB_LOWER", "DB_UPPER", "DB_PARTITIONS",
+    )
     return {key: env[name] for key, name in zip(keys, names) if name in env}
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What the reader calls an empty unquoted field, so that a quoted empty one stays a text.
+NO_VALUE = "\x01no value\x01"
+
 # How a load treats a target that already exists.
 INGEST_MODES = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
 
@@ -14,12 +17,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_l
     """CSV with a header line and a declared schema (nothing is inferred).
 
     Columns are found by their names in the header, in any order; quotes inside
-    quotes are doubled, and quoted fields may hold line breaks. A field that does not
+    quotes are doubled, and quoted fields may hold line breaks. Empty fields are NULL,
+    quoted empty ones empty texts. A field that does not
     fit its type, or a line that does not fit the header, fails the read. ``multi_line=False``
     lets a large file without quoted line breaks be split over tasks.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "FAILFAST"}
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "FAILFAST", "nullValue": NO_VALUE}
     header = spark.read.options(**options).csv(path).columns
     missing = [f.name for f in wanted.fields if f.name not in header]
     if missing:

@@ -70,7 +70,7 @@ def test_robust_scale(spark):
 
 def test_kmedoids_invariants(spark):
     x = np.concatenate([np.random.default_rng(1).normal(c, 0.2, (40, 2)) for c in (0, 5, 10)])
-    got = cluster.kmedoids(frame(spark, x), "id", ["f0", "f1"], 3).toPandas()
+    got = cluster.kmedoids(frame(spark, x), "id", ["f0", "f1"], 3).toPandas().sort_values("id", ignore_index=True)
     assert got["is_medoid"].sum() == 3 and got["cluster"].nunique() == 3
     # every blob is one cluster, and each medoid is the member nearest its cluster mean
     assert all(got["cluster"][i : i + 40].nunique() == 1 for i in (0, 40, 80))
@@ -97,3 +97,30 @@ def test_noise_label(spark):
     df = spark.createDataFrame([(-1,), (0,)], "c int")
     assert [r[0] for r in df.select(cluster.label_clusters(F.col("c"), noise="Outlier")).collect()] == ["Outlier", "Cluster 0"]
     assert [r[0] for r in df.select(cluster.label_clusters(F.col("c"))).collect()] == ["Cluster -1", "Cluster 0"]
+
+
+def test_missing_features_are_refused(spark):
+    rows = [(i, float(i % 3), float(i)) for i in range(9)]
+    for hole in (None, float("nan")):
+        df = spark.createDataFrame([*rows, (9, 1.0, hole)], "id bigint, f0 double, f1 double")
+        for call in (
+            lambda d: cluster.kmeans(d, ["f0", "f1"], 2),
+            lambda d: cluster.kmedoids(d, "id", ["f0", "f1"], 2),
+            lambda d: density.dbscan_scaled(d, "id", ["f0", "f1"]),
+        ):
+            with pytest.raises(ValueError, match="f1|x1"):
+                call(df)
+
+
+def test_unsettled_clusterings_raise(spark):
+    x = np.random.default_rng(2).uniform(0, 1, (200, 2))
+    with pytest.raises(RuntimeError, match="settle"):
+        cluster.kmeans(frame(spark, x), ["f0", "f1"], 4, max_iter=1)
+    with pytest.raises(RuntimeError, match="still move"):
+        cluster.kmedoids(frame(spark, x), "id", ["f0", "f1"], 4, max_rounds=1)
+
+
+def test_profile_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
+    got = {r["g"]: (r["mean"], r["median"]) for r in cluster.group_profile(df, "g", ["x"]).collect()}
+    assert got == {None: (2.0, 2.0), "a": (5.0, 5.0)}

@@ -51,6 +51,8 @@ def test_text_functions(spark):
     assert one(spark, lambda c: text.find_first(c, "z"), "abc", "string") == -1
     assert one(spark, lambda c: text.split_labels(c), "A, B", "string") == ["A", "B"]
     assert one(spark, text.is_title, "Hello World", "string") is True
+    for value in ("Ab-cd", "Ab-Cd", "O'Neil", "ABc", "a", "1A", "A1b", ""):
+        assert one(spark, text.is_title, value, "string") is value.istitle()
     assert one(spark, text.is_palindrome, "Level", "string") is False
     assert one(spark, text.is_present, "  ", "string") is False
     assert one(spark, lambda c: text.matches_like(c, "J%"), "jo", "string") is False

@@ -44,7 +44,11 @@ def catalogue(spark):
     pdf.loc[::9, "fat"] = np.nan
     pdf.loc[0, "b"] = None
     schema = "disease string, diet string, b string, l string, s string, d string, " + ", ".join(f"{c} double" for c in R.NUTRIENTS)
-    rows = [tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in pdf.itertuples(index=False)]
+    # missing nutrients are NULL in some rows and NaN in others
+    rows = [
+        tuple(None if isinstance(v, float) and np.isnan(v) and i % 2 else v for v in r)
+        for i, r in enumerate(pdf.itertuples(index=False))
+    ]
     return pdf, spark.createDataFrame(rows, schema)
 
 
@@ -61,16 +65,22 @@ def test_targets(profiles):
 
 
 def brute(pdf, targets, diet, conditions, column, top_n):
-    """One profile and slot at a time, as a plain table computation."""
-    part = pdf[pdf[column].notna() & (pdf[column].fillna("").str.strip() != "")]
-    fits = part["disease"].map(lambda cell: bool(set(cell.split(", ")) & set(conditions)))
-    part = part[fits] if conditions and fits.any() else part
-    same = part["diet"].str.lower() == diet.lower()
-    part = part[same] if diet != "Any" and same.any() else part
-    gap = (part[list(R.NUTRIENTS)].fillna(0) - targets) / targets
-    distance = np.sqrt((gap**2 * pd.Series(R.WEIGHTS)).sum(axis=1))
-    ranked = pd.DataFrame({"s": part[column], "d": distance}).sort_values(["d", "s"]).drop_duplicates("s").head(top_n)
-    return [(r.s, round((1 - r.d / distance.max()) * 100, 1)) for r in ranked.itertuples()]
+    """One request against every row, row by row."""
+    rows = [r for r in pdf.to_dict("records") if isinstance(r[column], str) and r[column].strip()]
+    for holds in (
+        lambda r: bool(set(r["disease"].split(", ")) & set(conditions)),
+        lambda r: r["diet"].lower() == diet.lower(),
+    ):
+        rows = [r for r in rows if holds(r)] or rows  # a wish that nothing meets is dropped
+    nearest, largest = {}, 0.0
+    for r in rows:
+        gaps = [((0.0 if np.isnan(r[n]) else r[n]) - targets[n]) / targets[n] for n in R.NUTRIENTS]
+        distance = sum(R.WEIGHTS[n] * g * g for n, g in zip(R.NUTRIENTS, gaps)) ** 0.5
+        largest = max(largest, distance)
+        nearest[r[column]] = min(distance, nearest.get(r[column], distance))
+    best = sorted(nearest.items(), key=lambda item: (item[1], item[0]))[:top_n]
+    return [(text, round((1 - distance / largest) * 100, 1)) for text, distance in best]
+
 
 
 @pytest.mark.parametrize("grid", [1, 2, 4, 7])
@@ -100,10 +110,11 @@ def test_pruning_leaves_cells_out(spark, profiles):
     assert 0 < kept.where("is_near").count() < searched / 2
 
 
-def test_grid_grows_with_the_pairs():
-    assert R._grid_size(100, 75_000) == 1
-    assert R._grid_size(1_000_000, 75_000) == 7
-    assert R._grid_size(1, 10**9) == R.MAX_GRID
+def test_grid_grows_with_the_catalogue():
+    assert R._grid_size(1) == 2
+    assert R._grid_size(75_000) == 7
+    assert R._grid_size(10**9) == R.MAX_GRID
+
 
 
 def test_exact_cell_mode_compares_whole_cells(profiles, catalogue):

@@ -74,3 +74,55 @@ def test_scratch_paths_lie_in_the_configured_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark).startswith(configured)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_csv_by_header_name_quotes_and_line_breaks(spark, tmp_path):
+    folder = tmp_path / "by-name"
+    folder.mkdir()
+    (folder / "x.csv").write_text('name,extra,id\n"He said ""hi"", ok",z,1\n"two\nlines",,2\n')
+    got = files.read_csv(spark, str(folder), "id int, name string").collect()
+    assert sorted(map(tuple, got)) == [(1, 'He said "hi", ok'), (2, "two\nlines")]
+    with pytest.raises(ValueError, match="absent"):
+        files.read_csv(spark, str(folder), "absent int")
+    with pytest.raises(Exception, match="(?i)malformed|cast|parse"):
+        files.read_csv(spark, str(folder), "id int, name int").collect()
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    rows = [(1, ' "q", \\ back\\'), (2, "a\nb"), (3, ""), (4, None), (5, "x"), (6, '\\"')]
+    df = spark.createDataFrame(rows, "id int, t string")
+    files.write_csv(df, str(tmp_path / "t"))
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "t"), "id int, t string").collect())) == rows
+
+
+def test_table_rebuilt_from_itself(spark):
+    name = "rebuilt_from_itself"
+    tables.create_table(spark.range(5).toDF("n"), name)
+    rebuilt = tables.create_table(spark.table(name).where("n > 1"), name)
+    assert sorted(r["n"] for r in rebuilt.collect()) == [2, 3, 4]
+    tables.drop_table(spark, name)
+    assert not spark.catalog.tableExists(name)
+
+
+def test_stages_are_deleted_with_their_block(spark):
+    from pathlib import Path
+
+    from tallyframe.session import delete_stage, materialise, stages
+
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    with stages(spark):
+        kept = materialise(spark.range(10))
+        assert kept.count() == 10 and len(set(root.iterdir()) - before) == 1
+    assert set(root.iterdir()) == before
+    tables.create_snapshot(spark.range(3).toDF("n"), "short_lived")
+    assert tables.drop_snapshot(spark, "short_lived") and set(root.iterdir()) == before
+    with pytest.raises(ValueError, match="not under"):
+        delete_stage(spark, "/tmp/elsewhere")
+
+
+def test_columns_of_the_catalog(spark):
+    spark.range(1).selectExpr("id", "'x' AS t").createOrReplaceTempView("listed_view")
+    got = [tuple(r)[:4] for r in tables.table_columns(spark, ["listed_view"]).orderBy("position").collect()]
+    assert got == [("listed_view", 1, "id", "bigint"), ("listed_view", 2, "t", "string")]
+    spark.catalog.dropTempView("listed_view")

@@ -177,23 +177,17 @@ def test_order_totals_and_rates(lines):
     assert orders.rate_summary(rates, "item").first()["highest_key"] == "x"
 
 
-def test_rfm_matches_pandas(spark):
-    rng = np.random.default_rng(2)
-    n = 300
-    pdf = pd.DataFrame({"buyer": rng.integers(0, 40, n), "day": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 300, n), "D"), "paid": rng.random(n) * 90})
-    df = spark.createDataFrame(pdf)
-    # a return is the latest row of all, by a buyer without sales
-    returned = spark.createDataFrame([(999, pd.Timestamp("2024-12-01").to_pydatetime(), 5.0)], df.schema).withColumn("sale", F.lit(0))
-    lines = df.withColumn("sale", F.lit(1)).unionByName(returned)
-    got = segments.rfm_scores(segments.rfm_table(lines, "buyer", "day", "sale", "paid")).toPandas().set_index("buyer").sort_index()
-    snapshot = pd.Timestamp("2024-12-02")
-    want = pdf.groupby("buyer").agg(recency=("day", lambda d: (snapshot - d.max()).days), frequency=("day", "count"), monetary=("paid", "sum"))
-    want["r"] = pd.qcut(want["recency"], 4, labels=[4, 3, 2, 1]).astype(int)
-    want["f"] = pd.qcut(want["frequency"].rank(method="first"), 4, labels=[1, 2, 3, 4]).astype(int)
-    want["m"] = pd.qcut(want["monetary"], 4, labels=[1, 2, 3, 4]).astype(int)
-    mean = want[["r", "f", "m"]].mean(axis=1)
-    names = pd.cut(mean, [0, 1.5, 2.5, 3.5, 4.1], labels=["At Risk", "Needs Attention", "Loyal", "Champions"])
-    assert list(got["recency"]) == list(want["recency"])
-    for mine, theirs in (("r_score", "r"), ("f_score", "f"), ("m_score", "m")):
-        assert list(got[mine]) == list(want[theirs])
-    assert list(got["segment"]) == list(names)
+def test_rfm_by_hand(spark):
+    """Eight buyers with scores worked out by hand; the ninth only returned goods, on the last day of all."""
+    # buyer: (days before the last day, sales, paid per sale)
+    sales = {1: (1, 8, 10.0), 2: (2, 7, 10.0), 3: (10, 6, 5.0), 4: (11, 5, 5.0), 5: (20, 4, 4.0), 6: (21, 3, 4.0), 7: (30, 2, 1.0), 8: (31, 1, 1.0)}
+    last = pd.Timestamp("2024-12-01")
+    rows = [(b, (last - pd.Timedelta(days=d + i)).to_pydatetime(), p, 1) for b, (d, n, p) in sales.items() for i in range(n)]
+    lines = spark.createDataFrame([*rows, (9, last.to_pydatetime(), 5.0, 0)], "buyer int, day timestamp, paid double, sale int")
+    got = {r["buyer"]: r for r in segments.rfm_scores(segments.rfm_table(lines, "buyer", "day", "sale", "paid")).collect()}
+    assert {b: r["recency"] for b, r in got.items()} == {b: d + 1 for b, (d, _, _) in sales.items()}
+    scores = {1: 4, 2: 4, 3: 3, 4: 3, 5: 2, 6: 2, 7: 1, 8: 1}
+    for b, score in scores.items():
+        assert (got[b]["r_score"], got[b]["f_score"], got[b]["m_score"]) == (score, score, score)
+    names = {4: "Champions", 3: "Loyal", 2: "Needs Attention", 1: "At Risk"}
+    assert {b: r["segment"] for b, r in got.items()} == {b: names[s] for b, s in scores.items()}
