@@ -205,34 +205,40 @@ def rfm_segments(t: Tables):
     return rounded(ordered, mean_recency=4, mean_frequency=4, mean_monetary=4, revenue=2)
 
 
+DIGITS = {"recency": 4, "frequency": 4, "monetary": 2}
+
+
 @plan("rfm_describe", "AN1 AN30", RFM + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std,
- round(CAST(min({c}) AS DOUBLE), 2) AS min, round(quantile_cont({c}, 0.25)::DOUBLE, 2) AS q25, round(quantile_cont({c}, 0.5)::DOUBLE, 2) AS q50,
- round(quantile_cont({c}, 0.75)::DOUBLE, 2) AS q75, round(quantile_cont({c}, 0.9)::DOUBLE, 2) AS q90, round(CAST(max({c}) AS DOUBLE), 2) AS max FROM rfm"""
-    for c in ("recency", "frequency", "monetary")))
+    f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS count, round(avg({c}), {d}) AS mean, round(stddev_samp({c}), {d}) AS std,
+ round(CAST(min({c}) AS DOUBLE), {d}) AS min, round(quantile_cont({c}, 0.25)::DOUBLE, {d}) AS q25, round(quantile_cont({c}, 0.5)::DOUBLE, {d}) AS q50,
+ round(quantile_cont({c}, 0.75)::DOUBLE, {d}) AS q75, round(quantile_cont({c}, 0.9)::DOUBLE, {d}) AS q90, round(CAST(max({c}) AS DOUBLE), {d}) AS max FROM rfm"""
+    for c, d in DIGITS.items()))
 def rfm_describe(t: Tables):
     asked = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
-    described = describe(materialise(buyer_table(t)), ["recency", "frequency", "monetary"], asked)
-    return rounded(described, mean=2, std=2, min=2, q25=2, q50=2, q75=2, q90=2, max=2)
+    described = describe(materialise(buyer_table(t)), list(DIGITS), asked)
+    for name in ("mean", "std", "min", *asked, "max"):
+        coarse, fine = F.round(name, DIGITS["monetary"]), F.round(name, DIGITS["recency"])
+        described = described.withColumn(name, F.when(F.col("column") == "monetary", coarse).otherwise(fine))
+    return described
 
 
-def _histogram_sql(column: str, bins: int) -> str:
+def _histogram_sql(column: str, bins: int, digits: int) -> str:
     return RFM + f""", b AS (SELECT min({column})::DOUBLE AS lo, max({column})::DOUBLE AS hi FROM rfm),
 h AS (SELECT CAST(least(floor(({column} - lo) / (hi - lo) * {bins}), {bins - 1}) AS BIGINT) AS bin, count(*) AS n FROM rfm, b GROUP BY 1)
-SELECT CAST(g.bin AS BIGINT) AS bin, round(lo + g.bin * ((hi - lo) / {bins}), 2) AS left_edge, round(lo + (g.bin + 1) * ((hi - lo) / {bins}), 2) AS right_edge,
+SELECT CAST(g.bin AS BIGINT) AS bin, round(lo + g.bin * ((hi - lo) / {bins}), {digits}) AS left_edge, round(lo + (g.bin + 1) * ((hi - lo) / {bins}), {digits}) AS right_edge,
        CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(generate_series(0, {bins - 1})) AS bin) g CROSS JOIN b LEFT JOIN h ON g.bin = h.bin"""
 
 
-@plan("recency_histogram", "AN5 AN28", _histogram_sql("recency", 40))
+@plan("recency_histogram", "AN5 AN28", _histogram_sql("recency", 40, 6))
 def recency_histogram(t: Tables):
-    return rounded(histogram(materialise(buyer_table(t)), "recency", 40), left_edge=2, right_edge=2)
+    return rounded(histogram(materialise(buyer_table(t)), "recency", 40), left_edge=6, right_edge=6)
 
 
-@plan("frequency_histogram", "AN5 AN28", _histogram_sql("frequency", 30))
+@plan("frequency_histogram", "AN5 AN28", _histogram_sql("frequency", 30, 6))
 def frequency_histogram(t: Tables):
-    return rounded(histogram(materialise(buyer_table(t)), "frequency", 30), left_edge=2, right_edge=2)
+    return rounded(histogram(materialise(buyer_table(t)), "frequency", 30), left_edge=6, right_edge=6)
 
 
-@plan("monetary_histogram", "AN5 AN28", _histogram_sql("monetary", 40))
+@plan("monetary_histogram", "AN5 AN28", _histogram_sql("monetary", 40, 2))
 def monetary_histogram(t: Tables):
     return rounded(histogram(materialise(buyer_table(t)), "monetary", 40), left_edge=2, right_edge=2)
