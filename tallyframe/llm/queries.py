@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.bpe import decoded, encoded
-from tallyframe.llm.common import documents, fold_of, scratch_path, text_of
+from tallyframe.llm.common import documents, fold_of, materialise, scratch_path, text_of
 from tallyframe.llm.licenses import scan_licenses
 from tallyframe.llm.maxent import score_texts
 from tallyframe.llm.packing import pack
@@ -15,7 +15,10 @@ from tallyframe.llm.quality_crf import quality, train
 from tallyframe.llm.quality_rules import judge
 from tallyframe.llm.sharding import shuffle_into_shards
 from tallyframe.llm.simhash import near_groups
+from tallyframe.llm.simplex_clusters import centroid_digest, cluster_vectors
 from tallyframe.llm.token_files import read_tokens, write_tokens
+from tallyframe.llm.vector_codes import code_vectors, codebook_digest
+from tallyframe.llm.vectors import LONGEST
 from tallyframe.llm.winnowing import edit_likeness
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -102,6 +105,35 @@ def op10_lm_scoring(spark: SparkSession, directory: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id").withColumn("held_out", ~F.col("training")).drop("training")
 
 
+def _capped(total: str) -> Column:
+    return F.least(F.sum(F.col(total).cast("decimal(38,0)")), F.lit(LONGEST)).cast("bigint")
+
+
+def op11_vector_codes(spark: SparkSession, directory: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{directory}/embeddings.parquet")
+    coded, books = code_vectors(embeddings, "vec_id", "embedding", "label", parts=8, entries=16, rounds=6, scale=4096)
+    totals = materialise(coded.groupBy(F.col("label").alias("of")).agg(_capped("error").alias("label_error")))
+    return coded.join(totals, F.col("label").eqNullSafe(F.col("of"))).select(
+        F.col("id").alias("vec_id"),
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(codebook_digest(books)).alias("codebooks_sha256"),
+    )
+
+
+def op12_simplex_clusters(spark: SparkSession, directory: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{directory}/embeddings.parquet")
+    placed, centroids = cluster_vectors(embeddings, "vec_id", "embedding", clusters=16, rounds=3, length=64, scale=64)
+    found = placed.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("sum")).collect()  # a row a cluster
+    inertia = min(sum(int(r["sum"]) for r in found), LONGEST)
+    rows = [(r["cluster"], min(int(r["sum"]), LONGEST), inertia, centroid_digest(centroids[r["cluster"]])) for r in found]
+    facts = spark.createDataFrame(rows, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    return placed.join(F.broadcast(facts), "cluster").select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,6 +147,8 @@ QUERIES = {
         op8_sharding,
         op9_packing,
         op10_lm_scoring,
+        op11_vector_codes,
+        op12_simplex_clusters,
     )
 }
 
