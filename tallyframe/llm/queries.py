@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.bpe import decoded, encoded
 from tallyframe.llm.common import documents, fold_of, materialise, scratch_path, text_of
 from tallyframe.llm.licenses import scan_licenses
+from tallyframe.llm.long_matches import drop_long_matches
 from tallyframe.llm.maxent import score_texts
 from tallyframe.llm.packing import pack
 from tallyframe.llm.quality_crf import quality, train
@@ -134,6 +135,18 @@ def op12_simplex_clusters(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op13_long_matches(spark: SparkSession, directory: str) -> DataFrame:
+    cut = drop_long_matches(documents(spark, directory), "doc_id", "text", length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, run: total + run["end"] - run["start"])
+    return cut.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -149,6 +162,7 @@ QUERIES = {
         op10_lm_scoring,
         op11_vector_codes,
         op12_simplex_clusters,
+        op13_long_matches,
     )
 }
 
