@@ -32,9 +32,9 @@ from tallyframe.llm.common import materialise, scratch_path, text_of
 from tallyframe.llm.run_index import RunIndex
 
 GRAM = 32  # bytes of an anchor, a multiple of eight
-CHUNK = 1 << 20  # windows looked at together
+CHUNK = 1 << 16  # windows looked at together, few enough to stay in a core's cache
 TOGETHER = 1 << 22  # bytes of texts joined for one look
-BUCKET_BYTES = 1 << 21  # stretches of one index
+BUCKET_BYTES = 1 << 18  # stretches of one index, whose arrays then stay in a core's cache
 GROUP = 4_096  # different stretches of one key; more are divided
 TEXT_BUCKET = 1 << 24  # bytes of texts in one bucket of the written copy
 MAX_TEXT_BUCKETS = 1 << 16
@@ -45,13 +45,16 @@ PLACE = 47  # bits of a position beside two offsets of eight bits; the sign stay
 
 def _hashes(data: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of the gram from each of the first n positions."""
-    found = np.zeros(n, np.uint64)
+    found, spare = np.zeros(n, np.uint64), np.empty(n, np.uint64)
     for j in range(0, GRAM, 8):
-        word = np.ndarray((n,), "<u8", buffer=data[j:], strides=(1,))
-        found = (found ^ word) * MIX
-        found ^= found >> np.uint64(29)
+        found ^= np.ndarray((n,), "<u8", buffer=data[j:], strides=(1,))
+        found *= MIX
+        np.right_shift(found, np.uint64(29), out=spare)
+        found ^= spare
     found *= MIX
-    return found ^ (found >> np.uint64(32))
+    np.right_shift(found, np.uint64(32), out=spare)
+    found ^= spare
+    return found
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -149,7 +152,8 @@ def _found(stored: DataFrame, length: int) -> DataFrame:
 
 def _repeated(rows: DataFrame) -> DataFrame:
     """The rows whose key occurs more than once."""
-    often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # written first: of known size, and a join with a hot key can then be split
+    often = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     return rows.join(often, "key", "left_semi")
 
 

@@ -31,25 +31,32 @@ def suffix_order(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     short = left < FIRST
     words[short] &= ~np.uint64(0) << (np.uint64(8) * (FIRST - 1 - left[short]).astype(np.uint64))
     order = np.argsort(words)
+    words = words[order]
     fresh = np.ones(n, bool)
-    fresh[1:] = words[order[1:]] != words[order[:-1]]
+    np.not_equal(words[1:], words[:-1], out=fresh[1:])
+    # equal up to their ends: by position, which settles every later tie at an end too
+    ended = np.flatnonzero(short[order])
     start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    order[ended] = order[ended][np.lexsort((order[ended], start[ended]))]
+    fresh[ended] = True
+    start[ended] = ended
     rank = np.empty(n, np.int64)
     rank[order] = start
     tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
-    reach = FIRST
+    group, reach = start[tied], FIRST
     while len(tied):
         at = order[tied]
-        ended = left[at] < reach  # equal up to their ends
-        second = np.where(ended, at, rank[np.minimum(at + reach, n - 1)])
-        key = rank[at] * n + second
+        key = group * n
+        key += rank[at + reach]
         by_key = np.argsort(key)
         at, key = at[by_key], key[by_key]
         order[tied] = at
         fresh = np.ones(len(tied), bool)
-        fresh[1:] = key[1:] != key[:-1]
-        rank[at] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
-        tied = tied[~(fresh & np.append(fresh[1:], True))]
+        np.not_equal(key[1:], key[:-1], out=fresh[1:])
+        group = np.maximum.accumulate(np.where(fresh, tied, 0))
+        rank[at] = group
+        still = ~(fresh & np.append(fresh[1:], True))
+        tied, group = tied[still], group[still]
         reach *= 2
     return order
 
