@@ -6,8 +6,10 @@ few result rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,19 @@ from tallyframe.functions.tails import chi_square_tail, correlation_tail
 from tallyframe.operators.quantiles import clean_double
 
 SIGNIFICANT = 0.05
+PAIRED = 32  # columns whose pairs are single aggregates
+BLOCK = 64  # columns of a block of products
+HEAD = 1_000  # rows looked at for a value of every column; any value will do
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise Pearson correlations as rows (column_a, column_b, r), both orders and the diagonal."""
+    """Pairwise Pearson correlations as rows (column_a, column_b, r), both orders and the diagonal.
+
+    Up to ``PAIRED`` columns every pair is one aggregate; wider sets, whose pairs would
+    make too many, go through ``blocked_correlations`` with the same result.
+    """
+    if len(columns) > PAIRED:
+        return blocked_correlations(df, columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     aggregates = [F.corr(clean_double(a), clean_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
     aggregates += [F.count(clean_double(c)).alias(f"n_{c}") for c in columns]
@@ -28,6 +39,53 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
+def blocked_correlations(df: DataFrame, columns: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """``correlation_matrix`` for many columns, from one scan that sums products of blocks of columns.
+
+    Each task holds the sums over pairs where both values are there, as matrix products
+    of its batches, and hands on one row per pair of columns. Values are taken relative
+    to one value of their column, which keeps large offsets from eating up the digits.
+    """
+    columns = list(columns)
+    m = len(columns)
+    rows = df.select(*[clean_double(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    head = rows.limit(HEAD).agg(*[F.first(f"x{i}", ignorenulls=True) for i in range(m)]).first()
+    base = np.array([0.0 if v is None else v for v in head])
+    blocks = [(a, b) for a in range(0, m, block) for b in range(a, m, block)]
+    fields = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - base
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            for a, b in blocks:
+                xa, ta, xb, tb = x[:, a : a + block], there[:, a : a + block], x[:, b : b + block], there[:, b : b + block]
+                found = np.stack([ta.T @ tb, xa.T @ tb, ta.T @ xb, (xa * xa).T @ tb, ta.T @ (xb * xb), xa.T @ xb])
+                total[a, b] = total[a, b] + found if (a, b) in total else found
+        for (a, b), found in total.items():
+            i, j = np.nonzero(np.arange(a, a + found.shape[1])[:, None] <= np.arange(b, b + found.shape[2]))
+            sums = [pa.array(f[i, j]) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array((a + i).astype(np.int32)), pa.array((b + j).astype(np.int32)), *sums], names=["i", "j", *fields])
+
+    partial = rows.mapInArrow(products, "i int, j int, " + ", ".join(f"{f} double" for f in fields))
+    sums = partial.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields])
+    spread_x, spread_y = (F.col(f"s{v}{v}") - F.col(f"s{v}") * F.col(f"s{v}") / F.col("n") for v in "xy")
+    shared = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("n") > 0, 1.0)).otherwise(
+        F.when((F.col("n") > 1) & (spread_x > 0) & (spread_y > 0), shared / F.sqrt(spread_x * spread_y))
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    half = sums.select("i", "j", r.alias("r"))
+    both = half.unionByName(half.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    # columns that no task has seen any row of are still listed
+    grid = df.sparkSession.range(m * m).select(F.expr(f"cast(id div {m} as int)").alias("i"), (F.col("id") % m).cast("int").alias("j"))
+    return grid.join(both, ["i", "j"], "left").select(
+        F.element_at(names, F.col("i") + 1).alias("column_a"), F.element_at(names, F.col("j") + 1).alias("column_b"), "r"
+    )
+
+
 def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """One aggregation for all pairs: r and the number of complete pairs."""
     if not pairs:

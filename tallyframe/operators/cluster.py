@@ -10,6 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.boxes import with_boxes
+from tallyframe.operators.medoids import central_start, settle
 from tallyframe.operators.profile import _stack
 from tallyframe.operators.quantiles import percentile_table
 from tallyframe.session import materialise
@@ -125,22 +127,44 @@ def kmedoids(
     labels: Mapping[int, str] | None = None,
     seed: int = 42,
     max_rounds: int = MAX_ITER,
+    distance: str = "plain",
+    start: str = "central",
     **options,
 ) -> DataFrame:
     """K-medoids on robust-scaled features; adds ``cluster`` and ``is_medoid``.
 
-    The cost is squared Euclidean distance: the best medoid of a cluster is then
-    the member nearest its mean, so a round is two linear aggregations and only k
-    rows reach the driver. Starting medoids are drawn one by one, a row's chance growing
-    with its distance from those drawn (``_spread_start``). Raises ``RuntimeError`` if
-    the medoids still move after ``max_rounds`` and ``ValueError`` for NULL or NaN
-    features.
+    Rows go to the nearest medoid, then each cluster takes the member with the least sum
+    of ``distance`` ("plain" or "squared") to its members, until none moves. Under plain
+    distance that member is found by bounds (see ``medoids``); under squared distance it
+    is the member nearest the mean. ``start`` takes the k rows with the least sums of
+    distances to all rows ("central"), or rows drawn one by one, a row's chance growing
+    with its distance from those drawn ("spread", by ``seed``). Raises ``RuntimeError``
+    if the medoids still move after ``max_rounds`` and ``ValueError`` for NULL or NaN
+    features, or fewer than k rows.
     """
+    if distance not in ("plain", "squared") or start not in ("central", "spread"):
+        raise ValueError("distance is plain or squared, start is central or spread")
     scaled = robust_scale(_stored(df, features), features, "__s", **options)
     names = [f + "__s" for f in features]
-    # read many times: kept in memory on top of the written copy
-    points = materialise(scaled.select(F.col(row_id).alias("__id"), *names)).persist()
-    medoids = _spread_start(points, names, k, seed)
+    points = materialise(scaled.select(F.col(row_id).alias("__id"), *names))
+    if distance == "plain" or start == "central":
+        points = materialise(with_boxes(points, names, points.count()))
+    points = points.persist()  # read many times: kept in memory on top of the written copy
+    first = central_start(points, names, k) if start == "central" else _spread_start(points, names, k, seed)
+    if distance == "plain":
+        medoids = settle(points, names, first, lambda places: _nearest(names, places), max_rounds)
+    else:
+        medoids = _settled_squared(points, names, first, max_rounds)
+    points.unpersist()
+    cluster = _nearest(names, [m[1] for m in medoids])
+    out = scaled.withColumns(
+        {"cluster": label_clusters(cluster, labels), "is_medoid": F.col(row_id).isin([m[0] for m in medoids])}
+    )
+    return out.drop(*names)
+
+
+def _settled_squared(points: DataFrame, names: Sequence[str], medoids: list[tuple], max_rounds: int) -> list[tuple]:
+    """Medoids under squared distance: two linear aggregations a round, and k rows to the driver."""
     for _ in range(max_rounds):
         assigned = points.withColumn("__c", _nearest(names, [m[1] for m in medoids]))
         means = {
@@ -162,16 +186,9 @@ def kmedoids(
         for c in means:
             moved[c] = (winners[f"c{c}"]["__id"], [winners[f"c{c}"][n] for n in names])
         if moved == medoids:
-            break
+            return medoids
         medoids = moved
-    else:
-        raise RuntimeError(f"medoids still move after {max_rounds} rounds")
-    points.unpersist()
-    cluster = _nearest(names, [m[1] for m in medoids])
-    out = scaled.withColumns(
-        {"cluster": label_clusters(cluster, labels), "is_medoid": F.col(row_id).isin([m[0] for m in medoids])}
-    )
-    return out.drop(*names)
+    raise RuntimeError(f"medoids still move after {max_rounds} rounds")
 
 
 def _spread_start(points: DataFrame, names: Sequence[str], k: int, seed: int) -> list[tuple]:

@@ -4,8 +4,9 @@ The plane is cut into cells so small that two points of one cell are always
 neighbours. A cell with ``min_samples`` points is therefore dense: all its points
 are core points of one cluster and none of its pairs is ever formed. Point
 comparisons remain only around sparse cells, which hold fewer than
-``min_samples`` points each. Whether two cells with core points touch is decided
-on bounding boxes, which are split further only while the answer is open.
+``min_samples`` points each. There, and where two cells with core points may touch,
+bounding boxes decide; they are split further only while the answer is open, and
+points are compared only in boxes that hold few.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from tallyframe.session import materialise
 
 MAX_OFFSETS = 1_000  # neighbour cells listed per cell; further dimensions are checked by box distance
 DIRECT_PAIRS = 4_096  # two boxes are compared point by point below this product of sizes
+DIRECT_SITES = 64  # a site is compared with the points of a box up to this size
 
 
 def dbscan_scaled(
@@ -58,14 +60,14 @@ def dbscan(df: DataFrame, row_id: str, features: Sequence[str], eps: float = 0.5
     )
     # a cell is named by its smallest site, so that later joins compare one number
     cells = materialise(
-        placed.groupBy(*place).agg(F.min("site").alias("cell"), F.sum("copies").alias("n"), *_box(xs))
+        placed.groupBy(*place).agg(F.min("site").alias("cell"), F.sum("copies").alias("n"), F.count("*").alias("sites"), *_box(xs))
     )
     near = materialise(_near_cells(cells, list(place), xs, eps))
 
     sites = materialise(placed.join(cells.select(*place, "cell", F.col("n").alias("own")), list(place)).drop(*place))
     sized, sites = sites, sites.drop("own")
     sparse = sized.where(F.col("own") < min_samples)
-    reach = _reached(sparse, near, sites, xs, eps, F.sum("copies"), F.col("b_n"))
+    reach = _reached(sparse, near, sites, xs, eps, side, "copies", F.sum, min_samples - F.col("own"))
     is_core = F.col("own") + F.coalesce("reach", F.lit(0)) >= min_samples
     judged = materialise(sized.join(reach, "site", "left").select("site", "cell", *xs, is_core.alias("core")))
     core = judged.where("core")
@@ -85,13 +87,13 @@ def dbscan(df: DataFrame, row_id: str, features: Sequence[str], eps: float = 0.5
     rest = judged.where("NOT core")
     own = rest.join(labels, "cell").select("site", "cluster")
     core_named = core.drop("core").join(labels, "cell")
-    core_near = near.drop("b_n", *_named("b", xs)).join(
+    core_near = near.select("a_cell", "b_cell").join(
         core_cells.join(labels, "cell").select(
-            F.col("cell").alias("b_cell"), F.col("cluster").alias("b_n"), *[F.col(c).alias(f"b_{c}") for c in _names(xs)]
+            F.col("cell").alias("b_cell"), F.col("cluster").alias("b_n"), F.col("n").alias("b_sites"), *[F.col(c).alias(f"b_{c}") for c in _names(xs)]
         ),
         "b_cell",
     )
-    others = _reached(rest, core_near, core_named, xs, eps, F.min("cluster"), F.col("b_n"), F.min)
+    others = _reached(rest, core_near, core_named, xs, eps, side, "cluster", F.min)
     border = own.unionByName(others.select("site", F.col("reach").alias("cluster"))).groupBy("site").agg(
         F.min("cluster").alias("cluster")
     )
@@ -148,35 +150,70 @@ def _near_cells(cells: DataFrame, place: Sequence[str], xs: Sequence[str], eps:
     b = cells.select(
         F.col("cell").alias("b_cell"),
         F.col("n").alias("b_n"),
+        F.col("sites").alias("b_sites"),
         *[F.col(c).alias(f"b_{c}") for c in _names(xs)],
         *place[:listed],
     )
     close = _gap2(*_sides("a", xs), *_sides("b", xs)) <= eps * eps
     pairs = a.join(b, place[:listed]).where((F.col("a_cell") != F.col("b_cell")) & close)
-    return pairs.select("a_cell", "b_cell", "b_n", *_named("b", xs))
+    return pairs.select("a_cell", "b_cell", "b_n", "b_sites", *_named("b", xs))
 
 
-def _reached(sites, near, targets, xs, eps, combine: Column, whole: Column, merge=F.sum) -> DataFrame:
-    """(site, reach): a combined value over the target points within eps in other cells.
+def _reached(sites, near, targets, xs, eps, side, value: str, merge, enough: Column | None = None) -> DataFrame:
+    """(site, reach): ``merge`` of the targets' ``value`` over the targets within eps in other cells.
 
-    A neighbour cell wholly in reach gives ``whole`` without looking at its points,
-    one wholly out of reach gives nothing; only the others are compared.
+    A box of targets wholly in reach counts as a whole and one out of reach not at all.
+    The others are compared point by point if they hold at most ``DIRECT_SITES``
+    targets, and split otherwise. A site that has ``enough`` (over its columns) looks no
+    further, so its reach may be less than the whole, but not less than enough.
     """
     here = [F.col(x) for x in xs]
-    pairs = sites.select("site", "cell", *xs).join(near, F.col("cell") == F.col("a_cell")).drop("cell")
-    b = _sides("b", xs)
-    pairs = pairs.where(_gap2(here, here, *b) <= eps * eps)
-    covered = _span2(here, here, *b) <= eps * eps
-    complete = pairs.where(covered).groupBy("site").agg(merge(whole).alias("part"))
-    open_pairs = pairs.where(~covered).select("site", "b_cell", *xs)
-    others = targets.select(
-        F.col("cell").alias("b_cell"),
-        *[F.col(x).alias(f"t_{x}") for x in xs],
-        *[c for c in ("copies", "cluster") if c in targets.columns],
+    b, split, level_side = _sides("b", xs), 4 if len(xs) <= 2 else 2, side
+    need = (F.lit(None).cast("bigint") if enough is None else enough).alias("need")
+    kept = ["site", *xs, "need"]
+    tagged = targets.select("cell", F.array("cell").alias("sub"), F.col(value).alias("value"), *[F.col(x).alias(f"t_{x}") for x in xs])
+    pairs = sites.select("site", "cell", *xs, need).join(near, F.col("cell") == F.col("a_cell")).select(
+        *kept, "b_cell", F.array("b_cell").alias("b_sub"), F.col("b_n").alias("b_value"), "b_sites", *_named("b", xs)
     )
-    apart = _square_sum([F.col(x) - F.col(f"t_{x}") for x in xs])
-    compared = open_pairs.join(others, "b_cell").where(apart <= eps * eps).groupBy("site").agg(combine.alias("part"))
-    return complete.unionByName(compared).groupBy("site").agg(merge("part").alias("reach"))
+    parts = []
+    while True:
+        pairs = materialise(
+            pairs.where(_gap2(here, here, *b) <= eps * eps)
+            .withColumn("covered", _span2(here, here, *b) <= eps * eps)
+            .select(*kept, "b_cell", "b_sub", "b_value", "b_sites", "covered")
+        )
+        parts.append(pairs.where("covered").groupBy("site").agg(merge("b_value").alias("part")))
+        undecided, few = pairs.where("NOT covered"), F.col("b_sites") <= DIRECT_SITES
+        apart = _square_sum([F.col(x) - F.col(f"t_{x}") for x in xs])
+        compared = _compared(undecided.where(few), tagged).where(apart <= eps * eps)
+        parts.append(compared.groupBy("site").agg(merge("value").alias("part")))
+        large = undecided.where(~few)
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, parts).groupBy("site").agg(merge("part").alias("reach"))
+        parts = [materialise(reduce(DataFrame.unionByName, parts).groupBy("site").agg(merge("part").alias("part")))]
+        if enough is not None:
+            large = large.join(parts[0], "site", "left").where(F.coalesce("part", F.lit(0)) < F.col("need")).drop("part")
+        large = materialise(large)
+        open_subs = large.select(F.col("b_cell").alias("cell"), F.col("b_sub").alias("sub")).distinct()
+        level_side = level_side / split
+        part = F.array(*[F.floor(F.col(f"t_{x}") / F.lit(level_side)) for x in xs])
+        tagged = materialise(
+            tagged.join(open_subs, ["cell", "sub"], "left_semi").withColumn("parent", F.col("sub")).withColumn("sub", part)
+        )
+        boxes = tagged.groupBy(F.col("cell").alias("b_cell"), F.col("parent").alias("b_parent"), F.col("sub").alias("b_sub")).agg(
+            merge("value").alias("b_value"),
+            F.count("*").alias("b_sites"),
+            *[F.min(f"t_{x}").alias(f"b_lo_{x}") for x in xs],
+            *[F.max(f"t_{x}").alias(f"b_hi_{x}") for x in xs],
+        )
+        tagged = tagged.drop("parent")
+        pairs = large.select(*kept, "b_cell", F.col("b_sub").alias("b_parent")).join(boxes, ["b_cell", "b_parent"]).drop("b_parent")
+
+
+def _compared(pairs: DataFrame, tagged: DataFrame) -> DataFrame:
+    """Each site beside every target of its open boxes."""
+    targets = tagged.withColumnsRenamed({"cell": "b_cell", "sub": "b_sub"})
+    return pairs.join(targets, ["b_cell", "b_sub"])
 
 
 def _linked_cells(core, core_cells, near, xs, eps, side) -> DataFrame:

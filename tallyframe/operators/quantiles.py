@@ -1,24 +1,35 @@
 """Exact percentiles and global ranks that do not funnel into one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a
-percentile is found by selection, at every size: splitters estimated on a sample cut
-each column into value buckets, one counting pass over all rows finds which bucket
-holds each wanted order statistic, and only the distinct values of those buckets are
-ranked, range partition by range partition. The result is exact however good or bad
-the splitters are, and a crowded bucket is spread over as many tasks as it needs.
+percentile is found by selection, at every size. Over whole columns one aggregate gives
+counts, extremes and a mergeable sketch, whose values bracket each wanted order
+statistic; one aggregate counts the rows below and in the brackets, and one job ranks
+the few distinct values inside. A bracket that still holds many rows is sketched again,
+and one that misses its rank is widened, so the result never depends on the sketch.
+
+In groups, splitters estimated on a sample cut each column into value buckets, one
+counting pass over all rows finds which bucket holds each wanted order statistic, and
+only the distinct values of those buckets are ranked, range partition by range
+partition. The result is exact however good or bad the splitters are, and a crowded
+bucket is spread over as many tasks as it needs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyframe.session import materialise
 
+SKETCH = 10_000  # accuracy of the sketch: ranks are off by at most 1 / SKETCH of the rows
+MARGIN = 3 / SKETCH  # of the rows, on both sides of a wanted rank
+GATHER = 100_000  # rows of a bracket that are ranked in one task; larger brackets are sketched again
 ROWS_PER_BUCKET = 5_000
 MAX_BUCKETS = 8_192
 SPLITTER_ROWS = 25_000  # at least so many rows are looked at to place the splitters
@@ -42,19 +53,128 @@ def percentiles(
 
     NULL and NaN are ignored; a column without values gives a NULL row for each
     probability overall, and no row in a group. NULL is a group like any other.
-    ``rows`` saves the counting job when the size is known. ``df`` is read three
-    times: store it first if it is costly to make.
+    ``rows`` saves the counting job of groups when the size is known. ``df`` is read
+    three times: store it first if it is costly to make.
     """
     if not columns:
         raise ValueError("no columns given")
-    values = df.select(*by, *[clean_double(c).alias(c) for c in columns])
-    total = values.count() if rows is None else rows
-    found = _selected_percentiles(values, columns, probabilities, by, total)
     if by:
-        return found
-    asked = [(c, float(p)) for c in columns for p in dict.fromkeys(probabilities)]
-    grid = df.sparkSession.createDataFrame(asked, "column string, probability double")
-    return grid.join(found, ["column", "probability"], "left")
+        values = df.select(*by, *[clean_double(c).alias(c) for c in columns])
+        return _selected_percentiles(values, columns, probabilities, by, values.count() if rows is None else rows)
+    found, _ = column_percentiles(df, columns, probabilities)
+    return df.sparkSession.createDataFrame([(c, p, v) for (c, p), v in found.items()], "column string, probability double, value double")
+
+
+def column_percentiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], more: Sequence[Column] = ()
+) -> tuple[dict[tuple[str, float], float | None], Row]:
+    """{(column, probability): value or None}, and the row of the aggregates ``more`` from the same first pass."""
+    names = list(dict.fromkeys(columns))
+    asked = [float(p) for p in dict.fromkeys(probabilities)]
+    values = df.select("*", *[clean_double(c).alias(f"__v{i}") for i, c in enumerate(names)])
+    near = [q for p in asked for q in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    first = [F.struct(F.count(f"__v{i}").alias("n"), F.min(f"__v{i}").alias("low"), F.max(f"__v{i}").alias("high"),
+                      F.percentile_approx(f"__v{i}", near, SKETCH).alias("near")).alias(f"__s{i}") for i in range(len(names))]
+    facts = values.agg(*first, *more).first()
+    wanted: dict[tuple[int, int], Statistic] = {}
+    for i in range(len(names)):
+        s = facts[f"__s{i}"]
+        for j, p in enumerate(asked if s["n"] else []):
+            for rank in {math.floor(p * (s["n"] - 1)), math.ceil(p * (s["n"] - 1))}:
+                wanted.setdefault((i, rank), Statistic(i, rank, s["low"], s["high"], s["near"][2 * j], s["near"][2 * j + 1]))
+    _select(values, list(wanted.values()))
+    found = {}
+    for i, c in enumerate(names):
+        n = facts[f"__s{i}"]["n"]
+        for p in asked:
+            position = p * (n - 1)
+            low, high = (wanted[i, r].value if n else None for r in (math.floor(position), math.ceil(position)))
+            found[c, p] = low + (high - low) * (position - math.floor(position)) if n else None
+    return found, facts
+
+
+@dataclass
+class Statistic:
+    """The value of one rank (from 0) of a column: between least and most for sure, between low and high by the sketch."""
+
+    column: int
+    rank: int
+    least: float
+    most: float
+    low: float
+    high: float
+    skipped: int = 0  # rows before those strictly between low and high
+    value: float | None = None
+
+    @property
+    def probe(self) -> tuple[int, float, float]:
+        return self.column, self.low, self.high
+
+    def between(self) -> Column:
+        value = F.col(f"__v{self.column}")
+        return (value > self.low) & (value < self.high)
+
+
+def _select(values: DataFrame, wanted: list[Statistic]) -> None:
+    """Find every value: count around the probes, rank what is between if it is little, and sketch it again if not.
+
+    A probe that misses still cuts the sure interval at one of the column's values, and a
+    new one lies strictly within the old, so every round leaves fewer values in question.
+    """
+    while wanted:
+        probes = list(dict.fromkeys(s.probe for s in wanted))
+        counts = []
+        for i, (column, low, high) in enumerate(probes):
+            value = F.col(f"__v{column}")
+            parts = (value < low, value == low, (value > low) & (value < high), value == high)
+            counts.append(F.struct(*[F.count_if(c).alias(f"n{j}") for j, c in enumerate(parts)]).alias(f"__p{i}"))
+        counted = dict(zip(probes, values.agg(*counts).first(), strict=True))
+        few, many, missed = [], [], []
+        for s in wanted:
+            below, at_low, inside, at_high = counted[s.probe]
+            at_high = 0 if s.low == s.high else at_high
+            s.skipped = below + at_low
+            if s.rank < below or s.rank >= below + at_low + inside + at_high:
+                s.least, s.most = (s.least, s.low) if s.rank < below else (s.high, s.most)
+                s.low, s.high = s.least, s.most
+                missed.append(s)
+            elif s.rank < s.skipped:
+                s.value = s.low
+            elif s.rank >= s.skipped + inside:
+                s.value = s.high
+            else:
+                s.least, s.most = s.low, s.high
+                (few if inside <= GATHER else many).append((s, inside))
+        if many:
+            sketches = []
+            for i, (s, inside) in enumerate(many):
+                share = (s.rank - s.skipped) / inside
+                near = [max(0.0, share - MARGIN), min(1.0, share + MARGIN)]
+                sketches.append(F.percentile_approx(F.when(s.between(), F.col(f"__v{s.column}")), near, SKETCH).alias(f"__s{i}"))
+            for (s, _), near in zip(many, values.agg(*sketches).first(), strict=True):
+                s.low, s.high = near
+        _rank(values, [s for s, _ in few])
+        wanted = missed + [s for s, _ in many]
+
+
+def _rank(values: DataFrame, wanted: list[Statistic]) -> None:
+    """Rank the distinct values strictly between the probes, few enough for one task each, and read off the wanted ones."""
+    if not wanted:
+        return
+    probes = {probe: i for i, probe in enumerate(dict.fromkeys(s.probe for s in wanted))}
+    first = {s.probe: s for s in wanted}
+    entry = lambda probe, i: F.when(first[probe].between(), F.struct(F.lit(i).alias("probe"), F.col(f"__v{probe[0]}").alias("value")))
+    inside = F.filter(F.array(*[entry(probe, i) for probe, i in probes.items()]), lambda x: x.isNotNull())
+    counted = values.select(F.explode(inside).alias("x")).groupBy("x.probe", "x.value").agg(F.count("*").alias("copies"))
+    placed = counted.withColumn("upto", F.sum("copies").over(Window.partitionBy("probe").orderBy("value")))
+    hits = [
+        (F.col("probe") == probes[s.probe]) & (F.col("upto") > s.rank - s.skipped) & (F.col("upto") - F.col("copies") <= s.rank - s.skipped)
+        for s in wanted
+    ]
+    rows = placed.where(reduce(lambda a, b: a | b, hits)).collect()  # a row for every wanted rank
+    for s in wanted:
+        place = s.rank - s.skipped
+        s.value = next(r["value"] for r in rows if r["probe"] == probes[s.probe] and r["upto"] - r["copies"] <= place < r["upto"])
 
 
 def percentile_table(

@@ -1,21 +1,25 @@
 """Nutrient targets and nearest-match suggestions for many profiles at once.
 
-Matching is exact but does not score every profile against every row. Catalogue
-rows are grouped into blocks (slot, condition, diet) and, inside a block, into at
-most ``MAX_GRID ** 3`` cells of similar nutrients. Box bounds on the distance tell
-which cells can hold a top match and which can hold the farthest row; only those
-cells' rows are scored.
+Matching is exact but does not score every profile against every row. The rows of a
+slot are cut into boxes of similar nutrients by a k-d tree of medians over all weighted
+nutrients, until every box is small. For each request the boxes that look nearest and
+farthest are scored first; what they hold bounds the distance of the last top match from
+above and that of the farthest row from below. Then only boxes whose own bounds beat
+these are scored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text
+from tallyframe.operators.boxes import Cuts
 from tallyframe.operators.ranking import top_per_group
 from tallyframe.session import materialise
 
@@ -56,9 +60,12 @@ CONDITION_FACTORS = {
 NUTRIENTS = tuple(WEIGHTS)
 ANY_DIET = "Any"
 
-MAX_GRID = 16  # most value classes per gridded nutrient
-GRID_NUTRIENTS = 3
-ENTRIES_PER_CELL = 200
+ROWS_PER_BOX = 48
+LARGE = 4  # times as many rows and a box is cut again
+SAMPLE_PER_BOX = 16  # rows of a box that place the cuts
+MAX_BOXES = 4_096  # boxes that one round makes, which bounds its sample and its trees
+NEAR_FIRST, FAR_FIRST = 6, 1  # boxes scored for the real bounds
+SLACK = 1e-9  # of a squared distance, for rounding in the bounds
 EVERY = "*"
 
 
@@ -126,25 +133,66 @@ def _entries(catalogue: DataFrame, suggestions: Mapping[str, str], labels: str,
     return rows.where(text.is_present(F.col("suggestion"))).distinct()
 
 
-def _with_cells(entries: DataFrame, wanted: DataFrame, nutrients: Sequence[str], grid: int) -> DataFrame:
-    """Add the nutrient cell: ``grid`` value classes of the nutrients that move the distance most.
+def _cut(rows: DataFrame, trees: Mapping[tuple, Cuts], nutrients: Sequence[str], width: Mapping[str, float]) -> Column:
+    """The box of a row, continued by its leaf where the box has a tree."""
+    weights = np.array([width[n] for n in nutrients])
+    given = rows.sparkSession.sparkContext.broadcast(dict(trees))
 
-    Two one-row aggregates choose the nutrients and their approximate class limits.
+    @F.arrow_udf("string")
+    def cut(slot: pa.Array, box: pa.Array, *columns: pa.Array) -> pa.Array:
+        values = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1) * weights
+        keys = list(zip(slot.to_pylist(), box.to_pylist(), strict=True))
+        numbers = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+        number = np.array([numbers[key] for key in keys])
+        out = np.array(box.to_pylist(), object)
+        for key, i in numbers.items():
+            tree = given.value.get(key)
+            if tree is not None:
+                some = np.flatnonzero(number == i)
+                out[some] = [f"{key[1]}.{leaf}" for leaf in tree.leaf(values[some]).tolist()]
+        return pa.array(out.tolist(), pa.string())
+
+    return cut("slot", "box", *nutrients)
+
+
+def _boxed(entries: DataFrame, wanted: DataFrame, nutrients: Sequence[str], rows_per_box: int) -> DataFrame:
+    """``entries`` spread over their label and diet keys, with the ``box`` of each row.
+
+    A sample of bounded size places the cuts of a round; boxes that come out too large
+    are sampled and cut again, unless all their rows are equal. So boxes hold at most
+    ``LARGE * rows_per_box`` rows however large or skewed the table is.
     """
-    marks = [i / grid for i in range(1, grid)]
-    limits = entries.agg(*[F.percentile_approx(n, marks).alias(n) for n in nutrients]).first()
     typical = wanted.agg(*[F.avg(F.abs(f"t_{n}")).alias(n) for n in nutrients]).first()
-    reach = {n: WEIGHTS[n] ** 0.5 * (limits[n][-1] - limits[n][0]) / (typical[n] or 1.0) for n in nutrients}
-    gridded = sorted(nutrients, key=lambda n: -reach[n])[:GRID_NUTRIENTS]
-    bucketed = Bucketizer(
-        inputCols=gridded,
-        outputCols=[f"__{n}" for n in gridded],
-        splitsArray=[[float("-inf"), *sorted(set(limits[n])), float("inf")] for n in gridded],
-    ).transform(entries)
-    cell = F.lit(0)
-    for n in gridded:
-        cell = cell * grid + F.col(f"__{n}").cast("int")
-    return bucketed.withColumn("cell", cell).drop(*[f"__{n}" for n in gridded])
+    width = {n: WEIGHTS[n] ** 0.5 / (typical[n] or 1.0) for n in nutrients}
+    spread = None
+    current = entries.withColumn("box", F.lit(""))
+    while True:
+        once = current if spread is None else current.where((F.col("label_key") == EVERY) & (F.col("diet_key") == EVERY))
+        limits = [F.array(*[e(n) for n in nutrients]).alias(name) for e, name in ((F.min, "low"), (F.max, "high"))]
+        facts = once.groupBy("slot", "box").agg(F.count("*").alias("n"), *limits)
+        most = rows_per_box if spread is None else LARGE * rows_per_box
+        large = facts.where((F.col("n") > most) & (F.col("low") != F.col("high"))).orderBy(F.desc("n"), "slot", "box").limit(MAX_BOXES).collect()
+        if not large and spread is not None:
+            return spread
+        total = sum(r["n"] for r in large)
+        share = min(1.0, MAX_BOXES * rows_per_box / max(total, 1))  # of the wanted leaves, if they are too many for one round
+        leaves = {(r["slot"], r["box"]): max(2, int(share * r["n"] / rows_per_box)) for r in large}
+        trees = {}
+        if large:
+            asked = [(*key, SAMPLE_PER_BOX * n / r["n"]) for r, (key, n) in zip(large, leaves.items(), strict=True)]
+            chances = F.broadcast(entries.sparkSession.createDataFrame(asked, "slot string, box string, chance double"))
+            sample = once.join(chances, ["slot", "box"]).where(F.rand(0) < F.col("chance")).select("slot", "box", *nutrients).toPandas()
+            scale = np.array([width[n] for n in nutrients])
+            sampled = {key: rows[list(nutrients)].to_numpy() * scale for key, rows in sample.groupby(["slot", "box"], sort=False)}
+            for r in large:
+                key = r["slot"], r["box"]
+                none = np.zeros((0, len(nutrients)))
+                trees[key] = Cuts(sampled.get(key, none), leaves[key], np.array(r["low"]) * scale, np.array(r["high"]) * scale)
+        current = current.withColumn("box", _cut(entries, trees, nutrients, width))
+        if spread is None:
+            current = current.select("slot", "suggestion", "box", *nutrients, "diet_keys", F.explode("label_keys").alias("label_key"))
+            current = current.select("slot", "suggestion", "box", *nutrients, "label_key", F.explode("diet_keys").alias("diet_key"))
+        spread = current = materialise(current)
 
 
 def _effective_blocks(requests: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -190,7 +238,7 @@ def match_top(
     labels: str = "disease",
     diet: str = "diet",
     exact_cell: bool = False,
-    grid: int | None = None,
+    rows_per_box: int = ROWS_PER_BOX,
 ) -> DataFrame:
     """The ``top_n`` best suggestions per profile and slot.
 
@@ -198,78 +246,82 @@ def match_top(
     conditions and the targets. The score is (1 - distance / largest distance of
     the searched rows) in percent with one decimal; a suggestion counts once with
     its best row. Ties go to the smaller suggestion text. ``exact_cell`` compares
-    the whole label cell instead of its labels. ``grid`` sets the value classes per
-    gridded nutrient (default: by the size of the catalogue, at least 2); it never
-    changes the result. NULL and NaN nutrients count as 0.
+    the whole label cell instead of its labels. ``rows_per_box`` never changes the
+    result. NULL and NaN nutrients count as 0.
     """
     nutrients = [n for n in NUTRIENTS if n in catalogue.columns]
     if not nutrients:
         raise ValueError("catalogue has no nutrient columns")
-    request, block = ["profile_id", "slot"], ["slot", "label_key", "diet_key"]
+    request = ["profile_id", "slot"]
     wanted = materialise(requests.select(*request, "diet", "conditions", *[f"t_{n}" for n in nutrients]))
     distinct = materialise(_entries(catalogue, suggestions, labels, diet, nutrients, exact_cell))
-    if grid is None:
-        grid = _grid_size(distinct.count())
-    entries = _with_cells(distinct, wanted, nutrients, max(2, grid))
-    spread = entries.select(
-        "slot", "suggestion", "cell", *nutrients, "diet_keys", F.explode("label_keys").alias("label_key")
-    ).select("slot", "suggestion", "cell", *nutrients, "label_key", F.explode("diet_keys").alias("diet_key"))
-    kept = materialise(_cells_to_scan(spread, wanted, nutrients, top_n))
-
-    # one scoring pass gives the best row of each suggestion and the farthest row
-    distance = F.sqrt(_weighted(nutrients, lambda n: F.col(n) - F.col(f"t_{n}")))
-    scored = kept.join(spread, [*block, "cell"]).withColumn("distance", distance)
-    per_suggestion = materialise(
-        scored.groupBy(*request, "suggestion").agg(
-            F.min(F.when(F.col("is_near"), F.struct("distance", *nutrients))).alias("row"),
-            F.max(F.when(F.col("is_far"), F.col("distance"))).alias("far"),
-        )
-    )
-    best = per_suggestion.where(F.col("row").isNotNull())
-    ranked = top_per_group(
-        best.select(*request, "suggestion", "row.*"), request, [F.col("distance"), F.col("suggestion")], top_n, "rank"
-    )
+    entries = _boxed(distinct, wanted, nutrients, rows_per_box)
+    kept = materialise(_boxes_to_scan(entries, wanted, nutrients, top_n))
+    per_suggestion = materialise(_scored(kept, entries, wanted, nutrients))
+    best = per_suggestion.where(F.col("distance").isNotNull()).drop("far")
+    ranked = materialise(top_per_group(best, request, [F.col("distance"), F.col("suggestion")], top_n, "rank"))
     largest = per_suggestion.groupBy(*request).agg(F.max("far").alias("largest"))
     relative = F.col("distance") / F.when(F.col("largest") > 0, F.col("largest")).otherwise(1.0)
-    return ranked.join(largest, request).select(
-        *request, "rank", "suggestion", F.round((1 - relative) * 100, 1).alias("match_score"), "distance", *nutrients
+    # the rows behind the few best distances; of equally near ones the smallest nutrients
+    near = _pairs(kept.where("is_near").join(ranked.select(*request).distinct(), request, "left_semi"), entries, wanted)
+    near = near.join(ranked.select(*request, "suggestion", F.col("distance").alias("least")), [*request, "suggestion"])
+    rows = near.where(_distance(nutrients) == F.col("least")).groupBy(*request, "suggestion").agg(F.min(F.struct(*nutrients)).alias("row"))
+    return ranked.join(largest, request).join(rows, [*request, "suggestion"]).select(
+        *request, "rank", "suggestion", F.round((1 - relative) * 100, 1).alias("match_score"), "distance", "row.*"
     )
 
 
-def _grid_size(n_entries: int) -> int:
-    """Value classes per gridded nutrient, by catalogue size."""
-    return max(2, min(MAX_GRID, int((n_entries / ENTRIES_PER_CELL) ** (1 / GRID_NUTRIENTS))))
+def _distance(nutrients: Sequence[str]) -> Column:
+    return F.sqrt(_weighted(nutrients, lambda n: F.col(n) - F.col(f"t_{n}")))
+
 
+def _pairs(kept: DataFrame, entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every request beside the rows of its kept boxes that carry the asked labels and diet."""
+    return kept.join(wanted.drop("diet", "conditions"), ["profile_id", "slot"]).join(entries, ["slot", "label_key", "diet_key", "box"])
 
-def _cells_to_scan(spread: DataFrame, wanted: DataFrame, nutrients: Sequence[str], top_n: int) -> DataFrame:
-    """Per request the cells that can hold a top match (is_near) or the farthest row (is_far)."""
+
+def _scored(kept: DataFrame, entries: DataFrame, wanted: DataFrame, nutrients: Sequence[str]) -> DataFrame:
+    """Per request and suggestion the least distance in near boxes and the largest in far ones."""
+    return _pairs(kept, entries, wanted).withColumn("d", _distance(nutrients)).groupBy("profile_id", "slot", "suggestion").agg(
+        F.min(F.when(F.col("is_near"), F.col("d"))).alias("distance"), F.max(F.when(F.col("is_far"), F.col("d"))).alias("far")
+    )
+
+
+def _boxes_to_scan(entries: DataFrame, wanted: DataFrame, nutrients: Sequence[str], top_n: int) -> DataFrame:
+    """Per request the boxes that can hold a top match (is_near) or the farthest row (is_far)."""
     request, block = ["profile_id", "slot"], ["slot", "label_key", "diet_key"]
-    # every suggestion is counted in one home cell, so counts of cells add up
-    boxes = spread.groupBy(*block, "cell").agg(
-        *[F.min(n).alias(f"lo_{n}") for n in nutrients], *[F.max(n).alias(f"hi_{n}") for n in nutrients]
+    boxes = materialise(
+        entries.groupBy(*block, "box").agg(
+            *[F.min(n).alias(f"lo_{n}") for n in nutrients], *[F.max(n).alias(f"hi_{n}") for n in nutrients]
+        )
     )
-    homes = spread.groupBy(*block, "suggestion").agg(F.min("cell").alias("cell")).groupBy(*block, "cell").agg(
-        F.count("*").alias("n_home")
+    # one factor per request and nutrient: weight over the squared target
+    factors = [(F.lit(WEIGHTS[n]) / F.when(F.col(f"t_{n}") == 0, 1.0).otherwise(F.col(f"t_{n}") * F.col(f"t_{n}"))).alias(f"w_{n}") for n in nutrients]
+    targets = wanted.select(*request, *[f"t_{n}" for n in nutrients], *factors)
+    searched = _effective_blocks(wanted, boxes).join(targets, request).join(boxes, block)
+
+    def bound(pick) -> Column:
+        gaps = [pick(F.col(f"lo_{n}") - F.col(f"t_{n}"), F.col(f"hi_{n}") - F.col(f"t_{n}")) for n in nutrients]
+        return reduce(lambda a, b: a + b, [g * g * F.col(f"w_{n}") for g, n in zip(gaps, nutrients, strict=True)])
+
+    nearest = bound(lambda low, high: F.greatest(F.lit(0.0), low, -high))
+    farthest = bound(lambda low, high: F.greatest(-low, high))  # the farther corner: never negative, as low is at most high
+    bounded = materialise(
+        searched.select(*request, "label_key", "diet_key", "box", (nearest * (1 - SLACK)).alias("least"), (farthest * (1 + SLACK)).alias("most"))
     )
-    cells = materialise(boxes.join(homes, [*block, "cell"], "left").fillna(0, ["n_home"]))
-
-    searched = _effective_blocks(wanted, cells).join(wanted.drop("diet", "conditions"), request).join(cells, block)
-    nothing = F.lit(0.0)
-    nearest = _weighted(nutrients, lambda n: F.greatest(nothing, F.col(f"lo_{n}") - F.col(f"t_{n}"), F.col(f"t_{n}") - F.col(f"hi_{n}")))
-    farthest = _weighted(nutrients, lambda n: F.greatest(F.abs(F.col(f"lo_{n}") - F.col(f"t_{n}")), F.abs(F.col(f"hi_{n}") - F.col(f"t_{n}"))))
-    bounded = searched.withColumns({"least": nearest, "most": farthest})
-    # at most MAX_GRID ** GRID_NUTRIENTS cells per block reach these windows
-    upto = F.sum("n_home").over(Window.partitionBy(*request, "label_key", "diet_key").orderBy("most", "cell"))
-    whole = Window.partitionBy(*request)
-    bounded = bounded.withColumn("upto", upto)
-    bounded = bounded.withColumns(
-        {
-            "enough": F.min(F.when(F.col("upto") >= top_n, F.col("most"))).over(whole),
-            "reached": F.max("least").over(whole),
-        }
+    tie = ["label_key", "diet_key", "box"]
+    near = top_per_group(bounded, request, [F.col("least"), *tie], NEAR_FIRST).select(*request, *tie, F.lit(True).alias("is_near"), F.lit(False).alias("is_far"))
+    far = top_per_group(bounded, request, [F.desc("most"), *tie], FAR_FIRST).select(*request, *tie, F.lit(False).alias("is_near"), F.lit(True).alias("is_far"))
+    first = materialise(_scored(near.unionByName(far), entries, wanted, nutrients))
+    last = top_per_group(first.where("distance IS NOT NULL"), request, [F.col("distance"), F.col("suggestion")], top_n)
+    # with fewer suggestions than asked for there is no bound on the last one yet
+    bounds = (
+        first.groupBy(*request).agg(F.max("far").alias("reached"))
+        .join(last.groupBy(*request).agg(F.count("*").alias("n"), F.max("distance").alias("last")), request, "left")
+        .select(*request, (F.col("reached") * F.col("reached")).alias("reached"), F.when(F.col("n") >= top_n, F.col("last") * F.col("last")).alias("enough"))
     )
-    return bounded.select(
-        *request, "label_key", "diet_key", "cell", *[f"t_{n}" for n in nutrients],
+    return bounded.join(bounds, request).select(
+        *request, *tie,
         (F.col("enough").isNull() | (F.col("least") <= F.col("enough"))).alias("is_near"),
         (F.col("most") >= F.col("reached")).alias("is_far"),
     ).where("is_near OR is_far")

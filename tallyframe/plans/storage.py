@@ -5,9 +5,13 @@ Round trips write to fresh paths in the shared folder.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators import joins, params
+from tallyframe.operators import constraints, group_functions, joins, params
 from tallyframe.plans.registry import TABLE_NAMES, Tables, fresh_name, plan
 from tallyframe.session import scratch_path
 from tallyframe.sources import files, tables
@@ -117,6 +121,67 @@ def catalog_columns(t: Tables):
     return listed.select(F.element_at(short, F.col("table_name")).alias("table_name"), "position", "column_name")
 
 
+RULES = [
+    constraints.primary_key("orders", "o_orderkey"),
+    constraints.primary_key("lineitem", "l_orderkey", "l_linenumber"),
+    constraints.unique("lineitem", "l_orderkey", "l_partkey"),
+    constraints.not_null("customer", "c_name"),
+    constraints.foreign_key("orders", ["o_custkey"], "customer", ["c_custkey"]),
+    constraints.foreign_key("lineitem", ["l_orderkey"], "orders", ["o_orderkey"], on_delete="CASCADE"),
+    constraints.foreign_key("labels", ["doc_id"], "documents", ["doc_id"], on_delete="SET NULL", on_update="NO ACTION"),
+    constraints.foreign_key("orders", ["o_custkey"], "supplier", ["s_suppkey"], name="fk_orders_supplier"),
+    constraints.check("customer", "c_acctbal >= 0", "ck_customer_acctbal"),
+    constraints.check("lineitem", "l_quantity <= 45 OR l_discount < 0.05", "ck_lineitem_quantity"),
+]
+
+
+def _listed(value) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@plan("constraint_catalog", "IO14 DQ1 DQ2 DQ3 DQ4 DQ5", "SELECT * FROM (VALUES " + ", ".join(
+    "(" + ", ".join(_listed(v) for v in (r.name, r.table, r.rule, ", ".join(r.columns) or None, r.parent, ", ".join(r.parent_columns) or None,
+                                         r.on_delete, r.on_update, r.expression)) + ")" for r in RULES)
+    + ") v(constraint_name, table_name, rule, columns, referenced_table, referenced_columns, on_delete, on_update, expression)"
+    + " SEMI JOIN (SELECT DISTINCT 'orders' AS t FROM orders UNION ALL SELECT DISTINCT 'lineitem' FROM lineitem UNION ALL SELECT DISTINCT 'customer' FROM customer"
+    + " UNION ALL SELECT DISTINCT 'labels' FROM labels) h ON table_name = t")
+def constraint_catalog(t: Tables):
+    """The declared constraints of the tables that hold rows."""
+    held = [getattr(t, n).limit(1).select(F.lit(n).alias("table_name")) for n in sorted({r.table for r in RULES})]
+    return constraints.listing(t.spark, RULES).join(reduce(DataFrame.unionByName, held), "table_name", "left_semi")
+
+
+def _surplus(table: str, key: str) -> str:
+    present = " AND ".join(f"{k} IS NOT NULL" for k in key.split(", "))
+    return f"SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM {table} WHERE {present} GROUP BY {key})"
+
+
+def _orphan(table: str, key: str, parent: str, parent_key: str) -> str:
+    return f"SELECT count(*) FROM {table} WHERE {key} IS NOT NULL AND {key} NOT IN (SELECT {parent_key} FROM {parent} WHERE {parent_key} IS NOT NULL)"
+
+
+AUDITS = [
+    _surplus("orders", "o_orderkey"),
+    _surplus("lineitem", "l_orderkey, l_linenumber"),
+    _surplus("lineitem", "l_orderkey, l_partkey"),
+    "SELECT count(*) FROM customer WHERE c_name IS NULL",
+    _orphan("orders", "o_custkey", "customer", "c_custkey"),
+    _orphan("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    _orphan("labels", "doc_id", "documents", "doc_id"),
+    _orphan("orders", "o_custkey", "supplier", "s_suppkey"),
+    "SELECT count(*) FROM customer WHERE NOT c_acctbal >= 0",
+    "SELECT count(*) FROM lineitem WHERE NOT (l_quantity <= 45 OR l_discount < 0.05)",
+]
+
+
+@plan("constraint_audit", "IO14 DQ1 DQ2 DQ3 DQ4 DQ5", " UNION ALL ".join(
+    f"SELECT '{r.name}' AS constraint_name, '{r.table}' AS table_name, '{r.rule}' AS rule, CAST(({sql}) AS BIGINT) AS violations"
+    for r, sql in zip(RULES, AUDITS, strict=True)))
+def constraint_audit(t: Tables):
+    used = {name for r in RULES for name in (r.table, r.parent) if name}
+    return constraints.audit({name: getattr(t, name) for name in used}, RULES)
+
+
 @plan("param_rows", "P1", """
 SELECT o_orderkey, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE o_custkey = 7""")
 def param_rows(t: Tables):
@@ -147,3 +212,25 @@ def grouped_lambda(t: Tables):
     return t.orders.groupBy("o_custkey").agg(
         F.datediff(F.lit("2002-01-01").cast("date"), F.to_date(F.max("o_orderdate"))).cast("bigint").alias("days_since")
     )
+
+
+@plan("grouped_function", "P4", """
+WITH r AS (SELECT l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS place FROM lineitem)
+SELECT l_suppkey, CAST(coalesce(max(place) FILTER (l_quantity >= place), 0) AS BIGINT) AS h_index, CAST(count(*) AS BIGINT) AS n_lines FROM r GROUP BY l_suppkey""")
+def grouped_function(t: Tables):
+    """Per supplier the largest h such that h lines have a quantity of at least h: a caller's function without a native form."""
+
+    def update(state, rows):
+        state.update(rows["l_quantity"].clip(lower=0).astype(int).tolist())
+        return state
+
+    def finish(state):
+        upto, h = 0, 0
+        for quantity in sorted(state, reverse=True):
+            upto += state[quantity]
+            h = max(h, min(upto, quantity))
+        return {"h_index": h, "n_lines": sum(state.values())}
+
+    return group_functions.fold_groups(
+        t.lineitem, ["l_suppkey"], ["l_quantity"], Counter, update, lambda a, b: a + b, finish, "h_index bigint, n_lines bigint"
+    )

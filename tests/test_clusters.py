@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import cluster, density
+from tallyframe.operators import boxes, cluster, density
+from tallyframe.operators.boxes import with_boxes as boxes_of
 from tallyframe.operators.components import connected_components
 
 
@@ -45,6 +46,28 @@ def test_dbscan_equals_brute_force(spark, monkeypatch, d, n, direct):
     assert want.max() >= 1 and (want < 0).any()
 
 
+@pytest.mark.parametrize("sites", [1, 8])
+def test_dbscan_splits_boxes_of_crowded_cells(spark, monkeypatch, sites):
+    monkeypatch.setattr(density, "DIRECT_SITES", sites)
+    for d, n in ((2, 260), (3, 200)):
+        x = blobs(d, n, d)
+        got = dict(map(tuple, density.dbscan(frame(spark, x), "id", [f"f{i}" for i in range(d)], 0.5, 5).collect()))
+        assert [got[i] for i in range(n)] == list(brute_dbscan(x, 0.5, 5))
+
+
+def test_dbscan_compares_few_pairs_around_a_crowded_cell(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    side = 0.5 / 2**0.5
+    crowd = np.floor(9 / side) * side + rng.uniform(0.02, 0.98, (700, 2)) * side  # a third of all rows in one cell
+    ring = [[crowd[:, 0].mean() + r * np.cos(a), crowd[:, 1].mean() + r * np.sin(a)] for r in (0.4, 0.55, 0.68) for a in np.linspace(0, 6.2, 20)]
+    x = np.concatenate([crowd, ring, rng.uniform(20, 60, (1340, 2))])
+    seen, plain = [], density._compared
+    monkeypatch.setattr(density, "_compared", lambda pairs, tagged: seen.append(plain(pairs, tagged).count()) or plain(pairs, tagged))
+    got = dict(map(tuple, density.dbscan(frame(spark, x), "id", ["f0", "f1"], 0.5, 5).collect()))
+    assert [got[i] for i in range(len(x))] == list(brute_dbscan(x, 0.5, 5))
+    assert sum(seen) < 60 * 700 / 4
+
+
 def test_dbscan_all_noise_and_hot_point(spark):
     apart = np.array([[float(10 * i), 0.0] for i in range(6)])
     assert {r["cluster"] for r in density.dbscan(frame(spark, apart), "id", ["f0", "f1"], 0.5, 2).collect()} == {-1}
@@ -68,17 +91,65 @@ def test_robust_scale(spark):
     assert set(got["b_scaled"]) == {0.0}
 
 
+def plain_kmedoids(x, k):
+    """Alternating k-medoids from the k most central rows, over the whole distance matrix."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    medoids = list(np.argsort(d.sum(1).round(9), kind="stable")[:k])
+    while True:
+        label, moved = d[medoids].argmin(0), list(medoids)
+        for c in range(k):
+            members = np.flatnonzero(label == c)
+            sums = d[np.ix_(members, members)].sum(1).round(9)
+            if len(members) and sums.min() < round(d[medoids[c], members].sum(), 9):
+                moved[c] = members[sums.argmin()]
+        if moved == medoids:
+            return medoids, label
+        medoids = moved
+
+
+@pytest.mark.parametrize("seed,k,boxes", [(1, 3, 1024), (2, 4, 4), (3, 2, 30), (4, 5, 1024)])
+def test_kmedoids_equal_an_exhaustive_search(spark, monkeypatch, seed, k, boxes):
+    from tallyframe.operators import medoids
+
+    monkeypatch.setattr(medoids, "BATCH", 5)
+    monkeypatch.setattr(cluster, "with_boxes", lambda df, names, rows: boxes_of(df, names, rows, boxes))
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, s, (50, 2)) for c, s in ((0, 0.5), (3, 1.0), (9, 0.2))] + [rng.uniform(-20, 20, (30, 2))])
+    x[10] = x[11]
+    got = cluster.kmedoids(frame(spark, x), "id", ["f0", "f1"], k).toPandas().sort_values("id", ignore_index=True)
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    want, label = plain_kmedoids((x - q[1]) / (q[2] - q[0]), k)
+    assert sorted(got.index[got["is_medoid"]]) == sorted(want)
+    assert list(got["cluster"]) == [f"Cluster {c}" for c in label]
+
+
+def test_box_summaries_enclose_the_sums():
+    rng = np.random.default_rng(5)
+    members = [rng.normal(c, 0.3, (40, 3)) for c in range(6)]
+    means = np.array([m.mean(0) for m in members])
+    spreads = np.array([((m - m.mean(0)) ** 2).sum(1).mean() for m in members])
+    summary = boxes.Summary(np.full(6, 40.0), means, spreads)
+    x = np.concatenate([*members, rng.normal(0, 9, (20, 3))])
+    low, high = summary.bounds(x)
+    true = np.sqrt(((x[:, None] - np.concatenate(members)) ** 2).sum(-1)).sum(1)
+    assert (low <= true).all() and (true <= high).all() and (high - low < 0.15 * true).all()
+    values, slopes = summary.planes()
+    assert ((values + ((x[:, None] - means) * slopes).sum(-1)).max(1) <= true).all()
+
+
 def test_kmedoids_invariants(spark):
     x = np.concatenate([np.random.default_rng(1).normal(c, 0.2, (40, 2)) for c in (0, 5, 10)])
-    got = cluster.kmedoids(frame(spark, x), "id", ["f0", "f1"], 3).toPandas().sort_values("id", ignore_index=True)
+    options = {"distance": "squared", "start": "spread"}
+    got = cluster.kmedoids(frame(spark, x), "id", ["f0", "f1"], 3, **options).toPandas().sort_values("id", ignore_index=True)
     assert got["is_medoid"].sum() == 3 and got["cluster"].nunique() == 3
     # every blob is one cluster, and each medoid is the member nearest its cluster mean
     assert all(got["cluster"][i : i + 40].nunique() == 1 for i in (0, 40, 80))
     for _, part in got.groupby("cluster"):
         gap = (part[["f0", "f1"]] - part[["f0", "f1"]].mean()).pow(2).sum(axis=1)
         assert part.loc[gap.idxmin(), "is_medoid"]
-    with pytest.raises(ValueError):
-        cluster.kmedoids(frame(spark, x[:2]), "id", ["f0", "f1"], 3)
+    for more in ({}, options):
+        with pytest.raises(ValueError):
+            cluster.kmedoids(frame(spark, x[:2]), "id", ["f0", "f1"], 3, **more)
 
 
 def test_model_clusters_and_labels(spark):

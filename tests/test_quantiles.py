@@ -34,6 +34,26 @@ def test_percentiles_match_pandas(data, monkeypatch, buckets):
             assert got[c, p] == pytest.approx(pdf[c].quantile(p), rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("gather", [1, 30])
+def test_brackets_are_sketched_again_until_they_are_small(data, monkeypatch, gather):
+    pdf, df = data
+    monkeypatch.setattr(Q, "GATHER", gather)
+    monkeypatch.setattr(Q, "SKETCH", 40)
+    monkeypatch.setattr(Q, "MARGIN", 3 / 40)
+    got, _ = Q.column_percentiles(df, ["x", "hot", "k"], PROBS)
+    for (c, p), value in got.items():
+        assert value == pytest.approx(pdf[c].quantile(p), rel=1e-12, abs=1e-12)
+
+
+def test_brackets_that_miss_are_widened(data, monkeypatch):
+    pdf, df = data
+    monkeypatch.setattr(Q, "MARGIN", 0.0)
+    monkeypatch.setattr(Q, "SKETCH", 8)
+    got, _ = Q.column_percentiles(df, ["x", "hot"], PROBS)
+    for (c, p), value in got.items():
+        assert value == pytest.approx(pdf[c].quantile(p), rel=1e-12, abs=1e-12)
+
+
 def test_grouped_percentiles(data, monkeypatch):
     pdf, df = data
     monkeypatch.setattr(Q, "ROWS_PER_BUCKET", 50)
@@ -49,8 +69,8 @@ def test_percentiles_with_misleading_splitters(data, monkeypatch):
     """Selection stays exact when the splitters are useless."""
     pdf, df = data
     monkeypatch.setattr(Q, "_splitters", lambda values, columns, buckets, total: {c: [1e9] for c in columns})
-    got = {r["probability"]: r["value"] for r in Q.percentiles(df, ["hot"], PROBS).collect()}
-    assert got == pytest.approx({p: pdf["hot"].quantile(p) for p in PROBS})
+    got = {(r["g"], r["probability"]): r["value"] for r in Q.percentiles(df, ["hot"], PROBS, ["g"]).collect()}
+    assert got == pytest.approx({(g, p): part["hot"].quantile(p) for g, part in pdf.groupby("g") for p in PROBS})
 
 
 def test_empty_column_gives_null(spark):

@@ -83,11 +83,11 @@ def brute(pdf, targets, diet, conditions, column, top_n):
 
 
 
-@pytest.mark.parametrize("grid", [1, 2, 4, 7])
-def test_matches_equal_brute_force_for_every_grid(profiles, catalogue, grid):
+@pytest.mark.parametrize("rows_per_box", [1, 5, 40, 10_000])
+def test_matches_equal_brute_force_for_every_box_size(profiles, catalogue, rows_per_box):
     pdf, df = catalogue
     requests = R.slot_targets(R.daily_targets(profiles))
-    found = R.match_top(requests, df, SLOTS, 4, grid=grid).collect()
+    found = R.match_top(requests, df, SLOTS, 4, rows_per_box=rows_per_box).collect()
     for r in requests.collect():
         targets = pd.Series({n: r[f"t_{n}"] for n in R.NUTRIENTS})
         want = brute(pdf, targets, r["diet"], r["conditions"], SLOTS[r["slot"]], 4)
@@ -96,25 +96,23 @@ def test_matches_equal_brute_force_for_every_grid(profiles, catalogue, grid):
         assert [m["match_score"] for m in got] == pytest.approx([w[1] for w in want], abs=0.11)
 
 
-def test_pruning_leaves_cells_out(spark, profiles):
+@pytest.fixture(scope="module")
+def many_meals(spark):
     rng = np.random.default_rng(0)
     rows = [("Acne", "Vegan", f"m{i}", *map(float, rng.uniform(100, 2000, 7))) for i in range(3000)]
-    df = spark.createDataFrame(rows, "disease string, diet string, b string, " + ", ".join(f"{c} double" for c in R.NUTRIENTS))
-    requests = R.slot_targets(R.daily_targets(profiles)).where("slot = 'Breakfast'")
-    entries = R._with_cells(R._entries(df, {"Breakfast": "b"}, "disease", "diet", R.NUTRIENTS, False), requests, R.NUTRIENTS, 8)
-    from pyspark.sql import functions as F
-
-    spread = entries.withColumn("label_key", F.explode("label_keys")).withColumn("diet_key", F.explode("diet_keys"))
-    kept = R._cells_to_scan(spread, requests, R.NUTRIENTS, 3)
-    searched = requests.count() * entries.select("cell").distinct().count()
-    assert 0 < kept.where("is_near").count() < searched / 2
+    rows += [("Acne", "Vegan", f"same{i}", *[500.0] * 7) for i in range(400)]  # equal rows cannot be parted
+    return spark.createDataFrame(rows, "disease string, diet string, b string, " + ", ".join(f"{c} double" for c in R.NUTRIENTS))
 
 
-def test_grid_grows_with_the_catalogue():
-    assert R._grid_size(1) == 2
-    assert R._grid_size(75_000) == 7
-    assert R._grid_size(10**9) == R.MAX_GRID
-
+def test_boxes_are_small_and_few_pairs_are_scored(profiles, many_meals):
+    requests = R.slot_targets(R.daily_targets(profiles)).where("slot = 'Breakfast'")
+    entries = R._boxed(R._entries(many_meals, {"Breakfast": "b"}, "disease", "diet", R.NUTRIENTS, False), requests, R.NUTRIENTS, 20)
+    whole = entries.where("label_key = '*' AND diet_key = '*'")
+    sizes = {r["box"]: r["count"] for r in whole.groupBy("box").count().collect()}
+    assert sum(sizes.values()) == 3400 and sorted(sizes.values())[-2] <= R.LARGE * 20 and max(sizes.values()) >= 400
+    kept = R._boxes_to_scan(entries, requests, R.NUTRIENTS, 3)
+    scored = R._pairs(kept, entries, requests).count()
+    assert 0 < scored < 0.1 * requests.count() * 3400
 
 
 def test_exact_cell_mode_compares_whole_cells(profiles, catalogue):
