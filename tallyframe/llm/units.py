@@ -33,7 +33,11 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # added tokens stand for themselves, as the library reads them by default; a text that may hold one is not cut
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = {t[:2] for t in added}
+        if not all(t.isprintable() and len(t) > 2 and not any(c.isalpha() or c == " " for c in t[:2]) for t in added):
+            raise ValueError("added tokens must begin with two signs")
         self.keep_blank = keep_blank
         self.separator = "\n" if keep_blank else " \x00 "
         marks = self.tokenizer.encode(self.separator, add_special_tokens=False).ids
@@ -70,7 +74,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [self.keep_blank and unsafe_spaces(t) for t in texts]
+        whole = [(self.keep_blank and unsafe_spaces(t)) or any(a in t for a in self.added) for t in texts]
         units = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
         starts = [u.pop(0) if self.keep_blank and u else "" for u in units]
         new = set().union(*units).difference(self.known)

@@ -36,7 +36,6 @@ def library():
 
     def load(name):
         tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        tokenizer.encode_special_tokens = True
         return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
     return load
