@@ -19,7 +19,7 @@ from tallyframe.llm.common import fresh, materialise, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHORT, LONG = 2, 4  # words in a k-gram of a phrase and of a notice
-DRIFT = 3  # diagonals so far apart are merged
+DRIFT = 3  # diagonals so far apart are merged, or half the notice's length if that is more
 COVERAGE = 0.75  # share of a notice's words that votes must cover
 BASE, NOTICE = "base", "notice"
 
@@ -136,7 +136,7 @@ def spans(voted: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Data
     base = counted.where((F.col("kind") == BASE) & complete).withColumn("start", F.col("diagonal"))
     order = Window.partitionBy("id", "key", "template").orderBy("diagonal")  # the diagonals of one document
     step = F.col("diagonal") - F.lag("diagonal").over(order)
-    near = counted.where(F.col("kind") == NOTICE).withColumn("new", F.when(step <= DRIFT, 0).otherwise(1))
+    near = counted.where(F.col("kind") == NOTICE).withColumn("new", F.when(step <= F.greatest(F.lit(DRIFT), F.col("length") / 2), 0).otherwise(1))
     covered = F.transform("places", lambda p: F.sequence(p, p + F.col("k") - 1))
     merged = (
         near.withColumn("run", F.sum("new").over(order))
