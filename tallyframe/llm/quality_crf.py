@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import fold_of
 
 TRAIN_DOCUMENTS = 2_000  # labelled documents fitted at most
-TRAIN_LINES = 100  # longer documents are not among them
+TRAIN_LINES = 100  # lines of a chain in training; longer documents train as several chains
 STEPS = 120
 RATE = 0.3
 DECAY = 1e-5
@@ -164,17 +164,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     """A model from at most ``TRAIN_DOCUMENTS`` labelled documents with crc32(id) mod 5 other than 0.
 
     The sample is drawn by a hash of the id among the labels alone, so only its own
-    texts are looked up; documents of more than ``TRAIN_LINES`` lines are left out of
-    it. Several labels of one id count as their smallest; NULL ids, labels and
+    texts are looked up. All their lines train: documents of more than ``TRAIN_LINES``
+    lines as several chains, which only leaves out the links where they part. Several labels of one id count as their smallest; NULL ids, labels and
     texts do not train. Without both classes every text with a word scores the smoothed
     share of good labels.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).where(fold_of(id_col) != 0)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCUMENTS)  # a bounded sample
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(
-        F.col("text").isNotNull() & (F.size(F.split("text", "\n")) <= TRAIN_LINES)
-    )
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").isNotNull())
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         share = (float(rows["label"].sum()) + 1) / (len(rows) + 2)
         flat = [0.0] * (3 * FEATURES)
         return Model((math.log(share / (1 - share)), *flat[1:]), (0.0, 0.0))
-    made = [np.frombuffer(f).reshape(-1, 3 * FEATURES) for f in rows["features"]]
-    return fit(made, rows["label"].tolist())
+    whole = [np.frombuffer(f).reshape(-1, 3 * FEATURES) for f in rows["features"]]
+    chains = [(m[i : i + TRAIN_LINES], label) for m, label in zip(whole, rows["label"].tolist(), strict=True) for i in range(0, len(m), TRAIN_LINES)]
+    return fit([c for c, _ in chains], [label for _, label in chains])
 
 
 def quality(text: Column, model: Model) -> Column:

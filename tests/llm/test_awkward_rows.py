@@ -46,6 +46,40 @@ def test_license_notice_with_changed_words(frame):
     assert rows[3].labels == "mit" and rows[3].score == 1.0
 
 
+@pytest.mark.parametrize("more", [4, 6, 10])
+def test_license_notice_with_many_words_put_in(frame, more):
+    words = list(licenses.TEMPLATES[4].words)
+    changed = [*words[:14], *[f"holder{i}" for i in range(more)], *words[14:]]
+    apart = [*words[:14], *[f"prose{i}" for i in range(200)], *words[14:]]  # two halves are no notice
+    rows = {r.id: r for r in licenses.scan_licenses(frame([(1, " ".join(changed)), (2, " ".join(apart))]), "doc_id", "text").collect()}
+    assert rows[1].labels == "mit" and rows[1].score == 1.0
+    assert rows[2].labels == ""
+
+
+def test_long_labelled_documents_train(spark, frame):
+    good, bad = "A calm sentence that says something useful.", "### $$$ ||| *** 111 222"
+    few = [(i, "\n".join([good if i % 2 else bad] * 5)) for i in range(1, 40)]
+    long = [(i, "\n".join(["CLICK NOW free free free" if i % 2 else good] * 250)) for i in range(100, 140)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in few] + [(i, (i + 1) % 2, 0) for i, _ in long], "doc_id long, quality int, toxic int")
+    with_long = quality_crf.train(frame(few + long), labels, "doc_id", "text")
+    without = quality_crf.train(frame(few), labels, "doc_id", "text")
+    text = "CLICK NOW free free free\nCLICK NOW free free free"
+    assert with_long != without and quality_crf.score(text, with_long) < quality_crf.score(text, without)
+
+
+def test_texts_with_added_tokens(spark, frame):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|startoftext|>plain<|endoftext|>", "<|ENDOFTEXT|> x", "no such token", "<| half"]
+    name = public_tokenizers.path("word_bpe_49k.json")
+    path, library = scratch_path(spark, "tokens"), Tokenizer.from_file(name)
+    token_files.write_tokens(frame(list(enumerate(texts))), "doc_id", "text", path, name, 2)
+    got = {r.id: bytes(r.tokens) for r in token_files.read_tokens(spark, path).collect()}
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        assert got[i] == b"".join(n.to_bytes(4, "little") for n in ids)
+
+
 def test_byte_bpe(awkward, empty):
     ids = bpe.encoded(F.col("text"), PATH, PATTERN)
     rows = awkward.select("doc_id", "text", ids.alias("ids")).select("doc_id", "text", "ids", bpe.decoded(F.col("ids"), PATH, PATTERN).alias("back"))
