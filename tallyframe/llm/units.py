@@ -34,9 +34,9 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # added tokens stand for themselves, as the library reads them by default; a text that may hold one is not cut
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = {t[:2] for t in added}
-        if not all(t.isprintable() and len(t) > 2 and not any(c.isalpha() or c == " " for c in t[:2]) for t in added):
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.signs = {t[:2] for t in self.added}  # a quick test, which lower case does not change
+        if any(len(t) < 3 or any(c.isalpha() for c in t[:2]) for t in self.added):
             raise ValueError("added tokens must begin with two signs")
         self.keep_blank = keep_blank
         self.separator = "\n" if keep_blank else " \x00 "
@@ -52,6 +52,12 @@ class UnitEncoder:
         # the fast call leaves out character offsets
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _may_hold_added(self, text: str) -> bool:
+        if not any(signs in text for signs in self.signs):
+            return False
+        lowered = text.lower()  # some vocabularies look for added tokens after folding case
+        return any(token in lowered for token in self.added)
+
     def _direct(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
@@ -74,7 +80,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [(self.keep_blank and unsafe_spaces(t)) or any(a in t for a in self.added) for t in texts]
+        whole = [(self.keep_blank and unsafe_spaces(t)) or self._may_hold_added(t) for t in texts]
         units = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
         starts = [u.pop(0) if self.keep_blank and u else "" for u in units]
         new = set().union(*units).difference(self.known)
