@@ -1,15 +1,17 @@
 """A caller's own function over groups, with partial states.
 
 ``groupBy().applyInPandas`` brings a whole group to one task. Here the function is given
-as init, update, merge and finish: every task folds its own rows into one state per
-group and hands the states on, so a group that holds a third of all rows arrives as a
-few states.
+as init, update, merge and finish: rows are dealt by group and sorted, every task folds
+its rows into one state per group and hands the states on. Spark deals a group that
+outgrows a partition to several tasks, so one that holds a third of all rows arrives as
+a few states, and a call of the function gets all rows of a group that its batch holds.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -44,6 +46,9 @@ def fold_groups(
     key_fields = [T.StructField(k, df.schema[c].dataType) for k, c in zip(keys, by, strict=True)]
     made = T.StructType.fromDDL(schema)
     rows = df.select(*by, *columns)
+    if by:
+        # adaptive execution splits the partitions that a large group fills
+        rows = rows.hint("rebalance", *by).sortWithinPartitions(*by)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[tuple, Any] = {}
@@ -61,16 +66,16 @@ def fold_groups(
         for batch in batches:
             types = [batch.schema.field(i).type for i in range(len(by))]
             parts = [batch.column(i).to_pylist() for i in range(len(by))]
-            members: dict[tuple, list[int]] = {}
-            for at, values in enumerate(zip(*parts, strict=True)):
-                members.setdefault(tuple(map(repr, values)), []).append(at)
             values = pa.Table.from_batches([batch]).select(columns).to_pandas()
-            for key, at in members.items():
+            start = 0
+            for key, run in groupby(zip(*parts, strict=True), lambda row: tuple(map(repr, row))):
+                end = start + sum(1 for _ in run)
                 if key not in states:
-                    states[key], shown[key] = init(), tuple(p[at[0]] for p in parts)
-                states[key] = update(states[key], values.iloc[at])
-                if len(states) >= STATES:
-                    yield handed()
+                    if len(states) >= STATES:
+                        yield handed()
+                    states[key], shown[key] = init(), tuple(p[start] for p in parts)
+                states[key] = update(states[key], values.iloc[start:end])
+                start = end
         if states:
             yield handed()
 

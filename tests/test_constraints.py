@@ -108,6 +108,21 @@ def test_hot_group_arrives_as_few_states(spark, monkeypatch):
     assert merged.value <= 5
 
 
+def test_groups_reach_the_function_in_long_runs(spark):
+    df = spark.range(4_000, numPartitions=4).select((F.col("id") % 50).alias("g"), F.col("id").alias("x"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = group_functions.fold_groups(
+            df, ["g"], ["x"], lambda: (0, 0), lambda s, r: (s[0] + 1, s[1] + int(r["x"].sum())),
+            lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: {"calls": s[0], "total": s[1]}, "calls long, total long",
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {r.g: r.total for r in found} == {g: sum(range(g, 4_000, 50)) for g in range(50)}
+    assert sum(r.calls for r in found) <= 50 + 40  # a call for every group and every batch, not one for every group of a batch
+
+
 def test_blocked_correlations_equal_pairs(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = rng.normal(0, 1, (400, 40)) @ rng.normal(0, 1, (40, 40)) + 1e6
