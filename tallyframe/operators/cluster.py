@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.boxes import with_boxes
+from tallyframe.operators.boxes import BOXES, FINE_BOXES, SAMPLE_PER_BOX, with_boxes
 from tallyframe.operators.medoids import central_start, settle
 from tallyframe.operators.profile import _stack
 from tallyframe.operators.quantiles import percentile_table
@@ -148,7 +148,11 @@ def kmedoids(
     names = [f + "__s" for f in features]
     points = materialise(scaled.select(F.col(row_id).alias("__id"), *names))
     if distance == "plain" or start == "central":
-        points = materialise(with_boxes(points, names, points.count()))
+        n = points.count()
+        points = with_boxes(points, names, n)
+        if n > BOXES * SAMPLE_PER_BOX * 4:  # with fewer rows a fine box holds only a few
+            points = with_boxes(points, names, n, FINE_BOXES, "__fine")
+        points = materialise(points)
     points = points.persist()  # read many times: kept in memory on top of the written copy
     first = central_start(points, names, k) if start == "central" else _spread_start(points, names, k, seed)
     if distance == "plain":

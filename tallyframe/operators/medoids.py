@@ -3,9 +3,10 @@
 Rows go to their nearest medoid, then every cluster takes the member with the least sum
 of distances to its members, until no medoid moves. That member is found without all
 pairs: box summaries give planes under the sum, which leave few candidates, then tight
-bounds on both sides, which leave fewer, and the exact sums of those are taken in linear
-passes until every other member is proved worse. Only summaries of a bounded number of
-boxes and batches of candidates reach the driver.
+bounds on both sides, which leave fewer. Of those that are still open in a large cluster
+finer boxes leave fewer again, and the exact sums of the rest are taken in linear passes
+until every other member is proved worse. Only summaries of a bounded number of boxes and
+batches of candidates reach the driver.
 """
 
 from __future__ import annotations
@@ -17,18 +18,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.boxes import box_facts, summaries
+from tallyframe.operators.boxes import PAIRS, Summary, box_facts, squared_gaps, summaries
 from tallyframe.session import materialise
 
-BATCH = 64  # candidates of a cluster whose sums one pass takes
+BATCH = 64  # candidates of a cluster whose sums the first pass takes
+MOST_BATCH = 1_024  # and later passes at most
+OPEN = 64  # open candidates of a cluster from which on finer boxes are worth a pass
 TIE = 1e-12  # sums closer than this, relatively, are equal; the smallest id then wins
 
 
 def central_members(assigned: DataFrame, names: Sequence[str], best: dict[int, tuple] | None = None, wanted: int = 1) -> dict[int, list[tuple]]:
     """Per cluster the ``wanted`` members with the least sums of distances to all members: (sum, id, place).
 
-    ``assigned`` has __id, the coordinates, __box and __c. ``best`` may give a known
-    member (sum, id, place) of each cluster to start from.
+    ``assigned`` has __id, the coordinates, __box, __c and, if it is large, __fine.
+    ``best`` may give a known member (sum, id, place) of each cluster to start from; then
+    rows without an id are no candidates.
     """
     rows = assigned.groupBy("__c", "__box").agg(*box_facts(names)).collect()  # at most a row per box and cluster
     facts = summaries(rows, "__c", names)
@@ -47,12 +51,49 @@ def central_members(assigned: DataFrame, names: Sequence[str], best: dict[int, t
         if known[c]:
             under[c] = min(under[c], known[c][0][0])
     spark = assigned.sparkSession
-    given = spark.sparkContext.broadcast({c: s for c, (s, _) in facts.items()})
     table = F.broadcast(spark.createDataFrame(planes, "__c int, __box bigint, __a double, __g array<double>"))
     plane = F.col("__a")
     for i, n in enumerate(names):
         plane = plane + F.col("__g")[i] * F.col(n)
-    limit = F.element_at(F.create_map(*[F.lit(x) for item in under.items() for x in item]), F.col("__c"))
+    near = assigned.join(table, ["__c", "__box"]).where(plane * (1 - 1e-9) <= _by_cluster(under) * (1 + TIE)).select("__c", "__id", *names)
+    near = near.where("__id IS NOT NULL") if best else near
+    bounded = _bounded(near, names, {c: s for c, (s, _) in facts.items()}, under, wanted)
+    if "__fine" in assigned.columns:
+        left = bounded.where(F.col("__low") <= _by_cluster(under) * (1 + TIE))
+        if any(r["n"] > OPEN for r in left.groupBy("__c").agg(F.count("*").alias("n")).collect()):
+            rows = assigned.groupBy("__c", "__fine").agg(*box_facts(names)).collect()  # as above, of more boxes
+            finer = {c: s for c, (s, _) in summaries(rows, "__c", names, "__fine").items()}
+            bounded = _bounded(left.select("__c", "__id", *names), names, finer, under, wanted)
+    done = {c: [] for c in facts}
+    last: dict[int, tuple] = {}  # per cluster the bound and id up to which candidates are done
+    size = BATCH
+    while True:
+        left = bounded.where(F.col("__low") <= _by_cluster(under) * (1 + TIE))
+        for c, (low, row_id) in last.items():
+            later = F.col("__id").isNotNull() if row_id is None else F.col("__id") > row_id  # NULL comes first
+            left = left.where((F.col("__c") != c) | (F.col("__low") > low) | ((F.col("__low") == low) & later))
+        order = Window.partitionBy("__c").orderBy("__low", "__id")
+        batch = left.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= size).collect()
+        if not batch:
+            return {c: _least([*known[c], *done[c]], wanted) for c in facts}
+        for r in sorted(batch, key=lambda r: r["__r"]):
+            last[r["__c"]] = r["__low"], r["__id"]
+        held = {m[1] for c in known for m in known[c]}
+        for c, found in _exact_sums(assigned, names, [r for r in batch if r["__id"] not in held]).items():
+            done[c] += found
+            sums = sorted(m[0] for m in [*known[c], *done[c]])
+            if len(sums) >= wanted:
+                under[c] = min(under[c], sums[wanted - 1])
+        size = min(2 * size, MOST_BATCH)
+
+
+def _by_cluster(values: dict[int, float]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for item in values.items() for x in item]), F.col("__c"))
+
+
+def _bounded(near: DataFrame, names: Sequence[str], facts: dict[int, Summary], under: dict[int, float], wanted: int) -> DataFrame:
+    """``near`` with bounds of its sums (__low, __high), written; lowers ``under`` to what they prove."""
+    given = near.sparkSession.sparkContext.broadcast(facts)
     columns = ["__c", "__id", *names]
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,30 +106,14 @@ def central_members(assigned: DataFrame, names: Sequence[str], best: dict[int, t
                 low[own], high[own] = given.value[c].bounds(x[own])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low), pa.array(high)], names=[*columns, "__low", "__high"])
 
-    near = assigned.join(table, ["__c", "__box"]).where(plane * (1 - 1e-9) <= limit * (1 + TIE)).select(*columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in near.schema.fields)
     bounded = materialise(near.mapInArrow(bound, f"{kinds}, `__low` double, `__high` double"))
     least = Window.partitionBy("__c").orderBy("__high")
     tops = bounded.withColumn("__r", F.row_number().over(least)).where(F.col("__r") <= wanted)
-    tops = tops.groupBy("__c").agg(F.max("__high").alias("__top"), F.count("*").alias("__n")).collect()
-    for r in tops:
+    for r in tops.groupBy("__c").agg(F.max("__high").alias("__top"), F.count("*").alias("__n")).collect():
         if r["__n"] == wanted:
             under[r["__c"]] = min(under[r["__c"]], r["__top"])
-    done = {c: [] for c in facts}
-    while True:
-        ends = {c: under[c] * (1 + TIE) for c in facts}
-        limit = F.element_at(F.create_map(*[F.lit(x) for item in ends.items() for x in item]), F.col("__c"))
-        seen = [m[1] for c in done for m in done[c]] + [m[1] for c in known for m in known[c]]
-        left = bounded.where((F.col("__low") <= limit) & ~F.col("__id").isin(seen)) if seen else bounded.where(F.col("__low") <= limit)
-        order = Window.partitionBy("__c").orderBy("__low", "__id")
-        batch = left.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= BATCH).select(*columns).collect()
-        if not batch:
-            return {c: _least([*known[c], *done[c]], wanted) for c in facts}
-        for c, found in _exact_sums(assigned, names, batch).items():
-            done[c] += found
-            sums = sorted(m[0] for m in [*known[c], *done[c]])
-            if len(sums) >= wanted:
-                under[c] = min(under[c], sums[wanted - 1])
+    return bounded
 
 
 def _least(members: list[tuple], wanted: int) -> list[tuple]:
@@ -103,6 +128,8 @@ def _least(members: list[tuple], wanted: int) -> list[tuple]:
 
 def _exact_sums(assigned: DataFrame, names: Sequence[str], batch: Sequence) -> dict[int, list[tuple]]:
     """Per cluster (sum of distances to all members, id, place) of the candidates."""
+    if not batch:
+        return {}
     asked: dict[int, list] = {}
     for r in batch:
         asked.setdefault(r["__c"], []).append((r["__id"], [r[n] for n in names]))
@@ -116,8 +143,10 @@ def _exact_sums(assigned: DataFrame, names: Sequence[str], batch: Sequence) -> d
             x = np.stack([rows.column(n).to_numpy() for n in names], axis=1)
             for c, p in given.value.items():
                 members = x[cluster == c]
-                for at in range(0, len(members), 4096):
-                    total[c] += np.sqrt(((members[at : at + 4096, None, :] - p) ** 2).sum(axis=2)).sum(axis=0)
+                step = max(1, PAIRS // len(p))
+                for at in range(0, len(members), step):
+                    gaps = squared_gaps(members[at : at + step], p)
+                    total[c] += np.sqrt(gaps, out=gaps).sum(axis=0)
         flat = [(c, j, float(v)) for c, sums in total.items() for j, v in enumerate(sums.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*flat, strict=True), (pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["c", "j", "s"])
 

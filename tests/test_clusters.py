@@ -123,6 +123,27 @@ def test_kmedoids_equal_an_exhaustive_search(spark, monkeypatch, seed, k, boxes)
     assert list(got["cluster"]) == [f"Cluster {c}" for c in label]
 
 
+@pytest.mark.parametrize("fine", [False, True])
+def test_loose_boxes_need_few_passes(spark, monkeypatch, fine):
+    from tallyframe.operators import medoids
+
+    x = np.random.default_rng(8).normal(0, 1, (4_000, 2))
+    x[100] = x[7] = x[11]
+    points = boxes_of(frame(spark, x).withColumnRenamed("id", "__id"), ["f0", "f1"], len(x), 4)
+    points = boxes_of(points, ["f0", "f1"], len(x), 250, "__fine") if fine else points
+    asked, exact = [], medoids._exact_sums
+
+    def counted(assigned, names, batch):
+        asked.append(len(batch))
+        return exact(assigned, names, batch)
+
+    monkeypatch.setattr(medoids, "_exact_sums", counted)
+    found = medoids.central_members(points.withColumn("__c", F.lit(0)), ["f0", "f1"], wanted=3)[0]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)).sum(1)
+    assert [m[1] for m in found] == np.argsort(d, kind="stable")[:3].tolist()
+    assert len(asked) <= (2 if fine else 9) and sum(asked) <= (200 if fine else 4_000)
+
+
 def test_box_summaries_enclose_the_sums():
     rng = np.random.default_rng(5)
     members = [rng.normal(c, 0.3, (40, 3)) for c in range(6)]
