@@ -143,3 +143,48 @@ def test_missing_columns_raise(profiles, catalogue):
         R.match_top(requests, df.drop("b"), SLOTS)
     with pytest.raises(ValueError, match="nutrient"):
         R.match_top(requests, df.drop(*R.NUTRIENTS), SLOTS)
+
+
+def test_only_the_best_of_a_box_is_written(spark, profiles, many_meals, monkeypatch):
+    """Neither bounds of all requests and boxes, nor scored rows, nor rows per label and diet key are written."""
+    written = []
+
+    def watched(df):
+        out = materialise(df)
+        written.append(out.count())
+        return out
+
+    materialise = R.materialise
+    monkeypatch.setattr(R, "materialise", watched)
+    requests = R.slot_targets(R.daily_targets(profiles)).where("slot = 'Breakfast'")
+    found = R.match_top(requests, many_meals, {"Breakfast": "b"}, 3, rows_per_box=20).count()
+    assert found == 4 * 3 and max(written) == 3400  # the rows of the catalogue, once
+    assert sorted(written)[-2] < 1000  # 4 requests by about 128 boxes, and the 3400 rows under each of two label and two diet keys, are more
+
+
+def test_large_boxes_and_many_requests_are_dealt(profiles, catalogue, many_meals, monkeypatch):
+    """Boxes of equal rows are searched in parts, and requests that reach one box in shares, with the same result."""
+    monkeypatch.setattr(R, "HELD_ROWS", 50)
+    monkeypatch.setattr(R, "HELD_REQUESTS", 1)
+    test_matches_equal_brute_force_for_every_box_size(profiles, catalogue, 10_000)
+    requests = R.slot_targets(R.daily_targets(profiles)).where("slot = 'Breakfast'")
+    found = [tuple(r) for r in R.match_top(requests, many_meals, {"Breakfast": "b"}, 3).orderBy("profile_id", "rank").collect()]
+    monkeypatch.undo()
+    assert found == [tuple(r) for r in R.match_top(requests, many_meals, {"Breakfast": "b"}, 3).orderBy("profile_id", "rank").collect()]
+
+
+def test_equally_near_rows_go_by_suggestion_then_nutrients(spark, profiles):
+    """Rows on both sides of the target are equally far, in different boxes."""
+    requests = R.slot_targets(R.daily_targets(profiles)).where("profile_id = 1 AND slot = 'Breakfast'")
+    target = requests.first()["t_fiber"]
+    rows = [("Acne", "Vegan", name, fiber) for name, fiber in [("b", target + 1), ("b", target - 1), ("a", target + 1), ("c", target - 1), *[(f"far{i}", 100.0 + i) for i in range(90)]]]
+    meals = spark.createDataFrame(rows, "disease string, diet string, b string, fiber double")
+    for rows_per_box in (1, 1000):
+        found = R.match_top(requests, meals, {"Breakfast": "b"}, 3, rows_per_box=rows_per_box).orderBy("rank").collect()
+        assert [(r["suggestion"], r["fiber"]) for r in found] == [("a", target + 1), ("b", target - 1), ("c", target - 1)]
+
+
+def test_requests_without_a_target_get_nothing(profiles, catalogue):
+    _, df = catalogue
+    requests = R.slot_targets(R.daily_targets(profiles)).withColumn("t_fat", R.F.when(R.F.col("profile_id") != 2, R.F.col("t_fat")))
+    assert {r["profile_id"] for r in R.match_top(requests, df, SLOTS, 2).collect()} == {1, 3, 4}
