@@ -17,6 +17,74 @@ def test_lm_contexts_act_inside_a_class(frame):
     assert got[100] > got[101] + 0.5
 
 
+def test_lm_contexts_act_inside_a_sub_class(frame, monkeypatch):
+    same: dict = {}
+    for i in range(10_000):
+        word = f"x{i}_on"
+        group = same.setdefault(maxent.Lexicon.place(word.encode(), -1), [])
+        group.append(word)
+        if len(group) == 2:
+            break
+    first, second = group
+    assert len({maxent.rest_leaf(w.encode()) for w in group}) == 2
+    common = " ".join(f"c{i}" * 2 for i in range(10))
+    rows = [(i, f"{common} {common} " + (f"alpha {first}" if i % 2 else f"beta {second}")) for i in range(20)]
+    asked = [(100, f"alpha {first}"), (101, f"alpha {second}")]  # equal counts, one class and one sub-class
+
+    def scores():
+        return {r.id: r.score for r in maxent.score_texts(frame(rows + asked), "doc_id", "text", F.col("doc_id") < 100).collect()}
+
+    got = scores()
+    assert got[100] > got[101] + 0.2
+    monkeypatch.setattr(maxent, "SHARED_WORDS", 20)  # both words are rare now
+    got = scores()
+    assert got[100] > got[101] + 0.2
+
+
+def test_lm_words_of_a_sub_class_sum_to_one():
+    place, other = maxent.ALONE * maxent.SUBS, maxent.ALONE * maxent.SUBS + 1
+    rng = np.random.default_rng(4)
+    for shared in (0, 1, 5, 40, 300):
+        counts = np.sort(rng.integers(1, 1000, shared + 3))[::-1]
+        places = np.full(shared + 3, place)
+        places[shared:] = other  # of another sub-class
+        for levels in range(maxent.REST_LEVELS + 1):
+            rest = np.zeros((maxent.CLASSES * maxent.SUBS, maxent.SUBS**levels))
+            rest[place:] = 0.5
+            rest[place] += rng.random(rest.shape[1])
+            tree = maxent.WordTree(places, counts, rest)
+            numbers = np.append(np.arange(shared), np.full(rest.shape[1], -1))
+            missing = np.flatnonzero(numbers < 0)
+            digits = np.arange(rest.shape[1]) * (maxent.REST // rest.shape[1])
+            n = len(numbers)
+            # every word after the same two words, in a text by itself
+            hashes = np.tile(np.array([11, 12, 13], np.uint64), n)
+            at = np.arange(n) * 3 + 2
+            all_numbers, all_places = np.full(3 * n, shared), np.full(3 * n, other)
+            all_numbers[at], all_places[at] = numbers, place
+            words = maxent.Words(all_numbers, hashes, all_places, at + 1, at[missing], digits)
+            weights = np.zeros((maxent.FEATURES, maxent.SUBS), np.float32)
+            for moved in (0.0, 0.5):
+                model = maxent.Model(*[None] * 4, weights + rng.normal(0, moved, weights.shape).astype(np.float32))
+                got = model.word_log_probabilities(tree, words)[at]
+                assert abs(np.exp(got).sum() - 1) < 1e-4
+                if not moved:  # without contexts: smoothed shares
+                    mass = np.append(counts[:shared] + 0.5, rest[place])
+                    assert np.allclose(np.exp(got), mass / mass.sum(), rtol=1e-4)
+
+
+def test_lm_run_sums():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(0, 1, (500, 4)).astype(np.float32)
+    lengths = np.array([1, 300, 2, 8, 9, 48, 49, 3, 1])
+    starts = np.cumsum(lengths) - lengths
+    at = rng.integers(0, 500, lengths.sum())
+    order, sums = maxent.run_sums(rows, at, starts)
+    assert sorted(order) == list(range(len(lengths)))
+    for run, total in zip(order, sums, strict=True):
+        assert np.allclose(total, rows[at[starts[run] : starts[run] + lengths[run]]].astype(float).sum(axis=0), atol=1e-4)
+
+
 def test_lm_distribution_sums_to_one(spark):
     words = [f"word{i}".encode() for i in range(60)] + [maxent.END]
     counts = np.arange(61, 0, -1)
