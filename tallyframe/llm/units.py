@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -11,6 +12,9 @@ CACHE_UNITS = 400_000  # words in one generation of a worker's cache
 CACHED_CHARS = 64  # longer words are not kept
 
 _unsafe = re.compile(r"\s \s|\s \Z").search
+# letters that stay single letters when they are composed and folded, then signs: no pattern joins a letter with a sign behind it
+_simple = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u0523]+)([!-/:-@\[-`{-~]*)").fullmatch
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def unsafe_spaces(text: str) -> bool:
@@ -23,7 +27,9 @@ class UnitEncoder:
 
     ``keep_blank``: a word carries the blank before it (byte-level vocabularies);
     otherwise white space only separates words. New words of a batch go through the
-    library in one call, separated by ``separator``, whose ids mark the seams.
+    library in one call, separated by ``separator``, whose ids mark the seams. Where
+    the vocabulary marks the ends of words, plain words go without separators and
+    their case is folded as the library folds it, so each form is encoded once.
     """
 
     def __init__(self, path: str, keep_blank: bool):
@@ -44,10 +50,26 @@ class UnitEncoder:
         if len(marks) != 1:
             raise ValueError("the separator must be a single token")
         self.mark = marks[0]
+        self.word_ends = self._word_ends()
         self.known: dict[str, bytes] = {}  # the young generation
         self.old: dict[str, bytes] = {}  # words of the generation before, until they are met again
         self.firsts: dict[str, bytes] = {}  # words at the start of a text, which have no blank before them
 
+    def _word_ends(self) -> np.ndarray | None:
+        """Whether an id ends a word, by id; None where words are not folded, cut at signs and ended by a suffix."""
+        tokenizer, suffix = self.tokenizer, getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if self.keep_blank or not suffix or tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+            return None
+        normalizer = json.loads(tokenizer.to_str())["normalizer"]
+        steps = [step["type"] for step in normalizer.get("normalizers", [normalizer])]
+        cut = tokenizer.pre_tokenizer.pre_tokenize_str
+        if "Lowercase" not in steps or any(len(cut("a" + sign)) != 2 for sign in SIGNS):
+            return None
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return ends
+
     def _ids(self, text: str) -> np.ndarray:
         # the fast call leaves out character offsets
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -62,6 +84,8 @@ class UnitEncoder:
         return self._ids(text).tobytes()
 
     def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
+        if self.word_ends is not None:
+            words = self._learn_simple(words, into)
         blank = " " if self.keep_blank else ""
         plain = [w for w in words if w and w.isprintable()]  # no white space but the blank, no control characters
         for word in set(words).difference(plain):
@@ -78,10 +102,46 @@ class UnitEncoder:
         data = ids.tobytes()
         into.update(zip(plain, [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())], strict=True))
 
+    def _learn_simple(self, words: list[str], into: dict[str, bytes]) -> list[str]:
+        """Learn the words of plain letters with signs behind them, the letters once for all of these; the other words."""
+        plain, signed, rest = set(), [], []
+        for word in words:
+            match = _simple(word)
+            if match is None:
+                rest.append(word)
+                continue
+            letters, tail = match.groups()
+            folded = letters.lower()
+            if folded not in into:
+                plain.add(folded)
+            if tail or folded != letters:
+                signed.append((word, folded, tail))
+        if plain:
+            ids = self._ids(" ".join(plain))
+            ends = ((np.flatnonzero(self.word_ends[ids]) + 1) * 4).tolist()
+            if len(ends) != len(plain):
+                return words
+            data = ids.tobytes()
+            into.update(zip(plain, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        for word, letters, tail in signed:
+            into[word] = into[letters] + self._first(tail)
+        return rest
+
+    def _words(self, text: str) -> list[str]:
+        if self.keep_blank:
+            return text.split(" ")
+        if self.word_ends is not None:
+            try:
+                text.encode("latin-1")  # of these every letter is folded by itself, before composing as well as after
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         whole = [(self.keep_blank and unsafe_spaces(t)) or self._may_hold_added(t) for t in texts]
-        units = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        units = [[] if w else self._words(t) for t, w in zip(texts, whole, strict=True)]
         starts = [u.pop(0) if self.keep_blank and u else "" for u in units]
         new = set().union(*units).difference(self.known)
         if len(self.known) + len(new) > CACHE_UNITS:
