@@ -24,9 +24,9 @@ from tallyframe.llm.units import unit_encoder
 BLOCK_TOKENS = 1 << 19  # a block is closed once it holds so many
 ROUNDS = 6  # of replacing; more rounds compress further and change nothing else
 LEAST_COUNT = 24  # occurrences from which a pair gets a rule
-RULES_A_ROUND = 8_192  # the most frequent pairs of a round
+RULES_A_ROUND = 8_192  # the most frequent pairs of a round; below 2^15, as slots hold their numbers
 ENCODE_TOGETHER = 256  # texts in one call of the tokenizer
-FILTER_BITS = 20
+FILTER_BITS = 18
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -80,11 +80,17 @@ def _places(keys: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     wide = keys.dtype.itemsize * 8
     kind = np.uint64 if wide == 64 else np.uint32
     spread, shift = kind(0x9E3779B97F4A7C15 >> (64 - wide)), kind(wide - FILTER_BITS)
-    may = np.zeros(1 << FILTER_BITS, bool)
-    may[(pairs.astype(kind) * spread) >> shift] = True
-    at = np.flatnonzero(may[(keys.astype(kind) * spread) >> shift])
-    rule = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
-    hit = pairs[rule] == keys[at]
+    slots = (pairs.astype(kind) * spread) >> shift
+    last = np.full(1 << FILTER_BITS, -1, np.int16)  # the last pair of a slot
+    last[slots] = np.arange(len(pairs))
+    of_keys = last.take((keys.astype(kind) * spread) >> shift)
+    at = np.flatnonzero(of_keys >= 0)
+    rule, wanted = of_keys.take(at).astype(np.int64), keys.take(at)
+    hit = pairs.take(rule) == wanted
+    if (last[slots] != np.arange(len(pairs))).any():  # slots of several pairs
+        others = np.flatnonzero(~hit)
+        rule[others] = np.minimum(np.searchsorted(pairs, wanted[others]), len(pairs) - 1)
+        hit[others] = pairs[rule[others]] == wanted[others]
     at, rule = at[hit], rule[hit]
     if not len(at):
         return at, rule

@@ -7,6 +7,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_UNITS = 400_000  # words in one generation of a worker's cache
 CACHED_CHARS = 64  # longer words are not kept
@@ -51,6 +53,9 @@ class UnitEncoder:
             raise ValueError("the separator must be a single token")
         self.mark = marks[0]
         self.word_ends = self._word_ends()
+        if self.word_ends is not None:
+            self.folded = Tokenizer.from_file(path)
+            self.folded.normalizer = None  # it would leave folded plain letters as they are
         self.known: dict[str, bytes] = {}  # the young generation
         self.old: dict[str, bytes] = {}  # words of the generation before, until they are met again
         self.firsts: dict[str, bytes] = {}  # words at the start of a text, which have no blank before them
@@ -61,18 +66,21 @@ class UnitEncoder:
         if self.keep_blank or not suffix or tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
             return None
         normalizer = json.loads(tokenizer.to_str())["normalizer"]
-        steps = [step["type"] for step in normalizer.get("normalizers", [normalizer])]
+        steps = normalizer.get("normalizers", [normalizer])
+        blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
         cut = tokenizer.pre_tokenizer.pre_tokenize_str
-        if "Lowercase" not in steps or any(len(cut("a" + sign)) != 2 for sign in SIGNS):
+        if {"type": "Lowercase"} not in steps or any(step not in ({"type": "NFC"}, {"type": "Lowercase"}, blanks) for step in steps):
+            return None
+        if any(len(cut("a" + sign)) != 2 for sign in SIGNS):
             return None
         vocabulary = tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         return ends
 
-    def _ids(self, text: str) -> np.ndarray:
+    def _ids(self, text: str, tokenizer=None) -> np.ndarray:
         # the fast call leaves out character offsets
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _may_hold_added(self, text: str) -> bool:
         if not any(signs in text for signs in self.signs):
@@ -117,7 +125,7 @@ class UnitEncoder:
             if tail or folded != letters:
                 signed.append((word, folded, tail))
         if plain:
-            ids = self._ids(" ".join(plain))
+            ids = self._ids(" ".join(plain), self.folded)
             ends = ((np.flatnonzero(self.word_ends[ids]) + 1) * 4).tolist()
             if len(ends) != len(plain):
                 return words
@@ -127,38 +135,50 @@ class UnitEncoder:
             into[word] = into[letters] + self._first(tail)
         return rest
 
-    def _words(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> tuple[str, str | None]:
+        """The word at the start that has no blank before it, and the text whose blanks separate the others, if any."""
         if self.keep_blank:
-            return text.split(" ")
+            start, blank, rest = text.partition(" ")
+            return start, rest if blank else None
         if self.word_ends is not None:
             try:
                 text.encode("latin-1")  # of these every letter is folded by itself, before composing as well as after
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return "", text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
         whole = [(self.keep_blank and unsafe_spaces(t)) or self._may_hold_added(t) for t in texts]
-        units = [[] if w else self._words(t) for t, w in zip(texts, whole, strict=True)]
-        starts = [u.pop(0) if self.keep_blank and u else "" for u in units]
-        new = set().union(*units).difference(self.known)
+        starts, rests = zip(*[("", None) if w else self._cut(t) for t, w in zip(texts, whole, strict=True)], strict=True)
+        units = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        coded = units.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+        number = coded.indices.to_numpy()
+        new = set(words).difference(self.known)
         if len(self.known) + len(new) > CACHE_UNITS:
             self.old, self.known = self.known, {}
-            new = set().union(*units)
+            new = set(words)
         again = {w: self.old[w] for w in new if w in self.old}
         self.known.update(again)
         new.difference_update(again)
         if new:
             self._learn(list(new), self.known)
-        get = self.known.__getitem__
+        found = list(map(self.known.__getitem__, words))
+        # the ids of all words one after another, copied from those of the different words
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        firsts, lengths = np.cumsum(sizes) - sizes, sizes[number]
+        ends = np.cumsum(lengths)
+        places = np.arange(int(lengths.sum())) + np.repeat(firsts[number] - (ends - lengths), lengths)
+        data = np.frombuffer(b"".join(found), "<u4")[places].tobytes()
+        last = np.cumsum(pc.fill_null(pc.list_value_length(units), 0).to_numpy())  # words up to the end of each text
+        stops = (np.concatenate([[0], ends])[last] * 4).tolist()
         out = []
-        for text, cut, start, words in zip(texts, whole, starts, units, strict=True):
-            if cut:
-                out.append(self._direct(text))
-            else:
-                out.append(b"".join([self._first(start), *map(get, words)]))
+        for text, cut, start, a, b in zip(texts, whole, starts, [0, *stops], stops, strict=False):
+            out.append(self._direct(text) if cut else self._first(start) + data[a:b])
         for word in [w for w in new if len(w) > CACHED_CHARS]:
             self.known.pop(word, None)
         return out

@@ -28,9 +28,19 @@ def test_word_vocabulary_equals_the_library(together):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("together", [1, 5])
+def test_byte_vocabulary_equals_the_library(together):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), UnitEncoder(path, True)
+    texts = ODD + ["a", " a", "a ", " ", "a b", "a  b", " a b c", "\na \nb"] + ODD[::-1]
+    got = [x for at in range(0, len(texts), together) for x in encoder.encode(texts[at : at + together])]
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_forms_of_a_word_are_encoded_once(monkeypatch):
     encoder, asked = UnitEncoder(public_tokenizers.path("word_bpe_49k.json"), False), []
     plain = encoder._ids
-    monkeypatch.setattr(encoder, "_ids", lambda text: asked.append(text) or plain(text))
+    monkeypatch.setattr(encoder, "_ids", lambda text, *more: asked.append(text) or plain(text, *more))
     encoder.encode(["Quorn quorn, QUORN!\nQuorn.\nquorn;", "Āquorn Quorn: quorn"])
     assert sum(text.lower().count("quorn") for text in asked) == 2  # the word itself, and the one with another letter before it
