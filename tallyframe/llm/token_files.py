@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ BLOCK_TOKENS = 1 << 19  # a block is closed once it holds so many
 ROUNDS = 6  # of replacing; more rounds compress further and change nothing else
 LEAST_COUNT = 24  # occurrences from which a pair gets a rule
 RULES_A_ROUND = 8_192  # the most frequent pairs of a round; below 2^15, as slots hold their numbers
-ENCODE_TOGETHER = 256  # texts in one call of the tokenizer
+ENCODE_TOGETHER = 1 << 22  # bytes of texts in one call of the tokenizer, and what the last text has beyond
 FILTER_BITS = 18
 
 
@@ -161,8 +162,10 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, path: str, tokeniz
         for whole in batches:
             kind = pa.list_(whole.schema.field(0).type)
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), kind, pa.list_(pa.int64()), pa.int64(), *[pa.binary()] * 3]
-            for at in range(0, whole.num_rows, ENCODE_TOGETHER):
-                batch = whole.slice(at, ENCODE_TOGETHER)
+            before = np.concatenate([[0], np.cumsum(pc.binary_length(whole.column(1)).to_numpy(), dtype=np.int64)[:-1]])
+            cuts = [*np.unique(before // ENCODE_TOGETHER, return_index=True)[1].tolist(), whole.num_rows] if whole.num_rows else []
+            for at, stop in zip(cuts, cuts[1:], strict=False):
+                batch = whole.slice(at, stop - at)
                 for number, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                     ids.append(number)
                     lengths.append(len(found) // 4 + 1)
